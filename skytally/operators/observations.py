@@ -196,16 +196,16 @@ def with_day_running(rows: DataFrame) -> DataFrame:
     return out.drop("_run")
 
 
-def stage_counts(lines: DataFrame, parsed: DataFrame, start_hour: int = 9, end_hour: int = 19) -> DataFrame:
-    """One row of counters over the labelling stages."""
-    rows = with_local_date(parsed)
-    auto = M.is_auto(F.col("metar"))
+def stage_counts(flagged: DataFrame, start_hour: int = 9, end_hour: int = 19) -> DataFrame:
+    """One row of counters over the labelling stages, in one pass over flagged lines (``parsed`` column)."""
+    rows = with_local_date(flagged)
+    ok = F.col("parsed")
+    plain = ok & ~M.is_auto(F.col("metar"))
     exact = M.tenths_temperature(F.col("metar")).isNotNull()
-    window = in_hour_window(F.col("local_ts"), start_hour, end_hour)
-    counts = rows.agg(
-        F.count("*").alias("parsed_rows"),
-        F.count_if(auto).alias("auto_rows"),
-        F.count_if(~auto & exact).alias("exact_rows"),
-        F.count_if(~auto & window).alias("window_rows"),
+    return rows.agg(
+        F.count("*").alias("input_lines"),
+        F.count_if(ok).alias("parsed_rows"),
+        F.count_if(ok & M.is_auto(F.col("metar"))).alias("auto_rows"),
+        F.count_if(plain & exact).alias("exact_rows"),
+        F.count_if(plain & in_hour_window(F.col("local_ts"), start_hour, end_hour)).alias("window_rows"),
     )
-    return lines.agg(F.count("*").alias("input_lines")).crossJoin(counts)

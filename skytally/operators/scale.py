@@ -75,16 +75,17 @@ def running(
     keys: Sequence[str],
     block: Sequence[str],
     order: Sequence[str],
-    specs: dict[str, tuple[str, Column]],
-    include_current: bool = True,
+    specs: dict[str, tuple],
 ) -> DataFrame:
     """Running values over ``keys`` in ``(block, order)`` order, one task per (key, block).
 
     ``specs`` maps an output column to ``(kind, expression)``; kinds are sum, count, min, max, last and
-    first (the last two skip nulls). ``block`` must be a coarsening of the order. Keys and blocks must
-    not be null.
+    first (the last two skip nulls). A third element ``True`` leaves the current row out. ``block`` must be
+    a coarsening of the order. Keys and blocks must not be null.
     """
     order_cols = [F.col(c) for c in order]
+    before_only = {out for out, spec in specs.items() if len(spec) > 2 and spec[2]}
+    specs = {out: spec[:2] for out, spec in specs.items()}
     names = {out: f"_in_{i}" for i, out in enumerate(specs)}
     src = df.select("*", *[expr.alias(names[out]) for out, (_, expr) in specs.items()])
     totals = src.groupBy(*keys, *block).agg(
@@ -96,12 +97,11 @@ def running(
         *block,
         *[_OVER_BLOCKS[kind](F.col(f"_t_{out}")).over(over_blocks).alias(f"_b_{out}") for out, (kind, _) in specs.items()],
     )
-    here = Window.partitionBy(*keys, *block).orderBy(*order_cols).rowsBetween(
-        Window.unboundedPreceding, 0 if include_current else -1
-    )
+    ordered = Window.partitionBy(*keys, *block).orderBy(*order_cols)
+    here = {out: ordered.rowsBetween(Window.unboundedPreceding, -1 if out in before_only else 0) for out in specs}
     local = src.select(
         *df.columns,
-        *[_IN_BLOCK[kind](F.col(names[out])).over(here).alias(f"_l_{out}") for out, (kind, _) in specs.items()],
+        *[_IN_BLOCK[kind](F.col(names[out])).over(here[out]).alias(f"_l_{out}") for out, (kind, _) in specs.items()],
     )
     joined = local.join(before, [*keys, *block], "left")
     return joined.select(

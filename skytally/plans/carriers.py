@@ -133,8 +133,8 @@ VIEWS["predictions"] = (
     [("station", "station"), ("tz", "tz"), ("seq", "seq"), ("valid_utc", "valid_utc"), ("epoch", "epoch"),
      ("utc_minute", "utc_minute"),
      ("actual_high_f", "tenths / 10.0e0 * 9.0e0 / 5.0e0 + 40.0e0"),
-     ("error_f", "(k * 7 % 1301 - 640) / 100.0e0 * CASE WHEN seq % 3 = 0 THEN 1.0e0 ELSE 0.25e0 END"),
-     ("error_c", "(k * 7 % 301 - 150) / 200.0e0")],
+     ("error_f", "(k * 7 % 1301 - 640) / 97.0e0 * CASE WHEN seq % 3 = 0 THEN 1.0e0 ELSE 0.25e0 END"),
+     ("error_c", "(k * 7 % 301 - 150) / 193.0e0")],
     "tenths IS NOT NULL",
 )
 # --- ledger ---------------------------------------------------------------------------------------------

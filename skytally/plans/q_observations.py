@@ -10,7 +10,7 @@ from skytally.functions.units import c_to_f, f_to_c, half_even, half_up, live_wh
 from skytally.operators import observations as O
 from skytally.operators.scale import earliest_by  # noqa: F401
 from skytally.plans.registry import query, r
-from skytally.sources.readers import normalize_archive, parse_archive_lines, parse_station_text
+from skytally.sources.readers import flag_archive_lines, normalize_archive, parse_archive_lines, parse_station_text
 
 # Checking-side pieces ------------------------------------------------------------------------------------
 TG = r"'(?:^|\s)T([01])(\d{3})([01])(\d{3})(?:\s|$)'"
@@ -74,8 +74,7 @@ def src2(v):
     FROM l""",
 )
 def agg5(v):
-    parsed = parse_archive_lines(v.archive_lines).withColumn("tz", F.lit("America/Chicago"))
-    return O.stage_counts(v.archive_lines, parsed)
+    return O.stage_counts(flag_archive_lines(v.archive_lines).withColumn("tz", F.lit("America/Chicago")))
 
 
 # PAR1, PAR2 -----------------------------------------------------------------------------------------------
@@ -409,7 +408,7 @@ def agg4(v):
 
 # WIN1, WIN2, WIN3, JOI2, JOI3, JOI4 -------------------------------------------------------------------------
 SQL_SERIES = SQL_EXTRA + (
-    f", s AS (SELECT x.*, {SQL_LOCAL} AS lt, CAST({SQL_LOCAL} AS DATE) AS ld, o.tenths / 10.0e0 * 9.0e0 / 5.0e0 + 32.0e0 AS t FROM x JOIN obs o ON x.seq = o.seq)"
+    f", s AS (SELECT x.*, {SQL_LOCAL} AS lt, CAST({SQL_LOCAL} AS DATE) AS ld, o.tenths / 10.0e0 * 9.0e0 / 5.0e0 + 32.0e0 AS t FROM x JOIN (SELECT seq, tenths FROM obs) o USING (seq))"
 )
 
 

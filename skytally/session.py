@@ -27,6 +27,7 @@ def build(master: str = "local[8]", name: str = "skytally", shuffle_partitions:
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         **{k.replace("__", "."): str(v) for k, v in conf.items()},
     }
     for key, value in settings.items():

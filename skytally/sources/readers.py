@@ -16,9 +16,9 @@ from skytally.session import prepare
 
 
 # --- weather archives ----------------------------------------------------------------------------------
-def parse_archive_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """``station,valid,metar`` lines; the report may hold commas. Blank, comment, header and bad-time
-    lines are dropped."""
+def flag_archive_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """``station,valid,metar`` lines as columns with ``parsed``: false for blank, comment, header and
+    bad-time lines. The report may hold commas."""
     parts = F.split(F.col(value), ",", 3)
     out = lines.select(
         *[c for c in lines.columns if c != value],
@@ -27,8 +27,12 @@ def parse_archive_lines(lines: DataFrame, value: str = "value") -> DataFrame:
         F.trim(F.get(parts, F.lit(2))).alias("metar"),
         F.trim(F.col(value)).alias("_line"),
     )
-    keep = (F.col("_line") != "") & ~F.col("_line").startswith("#") & F.col("valid_utc").isNotNull() & (F.col("metar") != "")
-    return out.filter(keep).drop("_line")
+    good = (F.col("_line") != "") & ~F.col("_line").startswith("#") & F.col("valid_utc").isNotNull() & (F.col("metar") != "")
+    return out.withColumn("parsed", F.coalesce(good, F.lit(False))).drop("_line")
+
+
+def parse_archive_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    return flag_archive_lines(lines, value).filter("parsed").drop("parsed")
 
 
 def scan_raw_observations(spark: SparkSession, root: str, stations: Sequence[str] | None = None) -> DataFrame:
@@ -220,7 +224,7 @@ def parse_pushed_records(df: DataFrame, payload: str = "payload") -> DataFrame:
 
 def parse_station_text(df: DataFrame, text: str = "text") -> DataFrame:
     """Two-line station files: time line, report line. No temperature, no row."""
-    lines = F.filter(F.transform(F.split(F.col(text), r"\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.col(text), r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     rest = [c for c in df.columns if c != text]
     out = df.select(
         *rest,

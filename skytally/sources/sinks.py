@@ -15,7 +15,7 @@ def six_digits(x: Column) -> Column:
     # The decimal text is rounded at (5 - power) places; one branch per exponent keeps the scale a literal.
     fixed = F.format_string("%.0f", x)
     for p in range(-5, 5):
-        fixed = F.when(power == p, F.format_string(f"%.{5 - p}f", x)).otherwise(fixed)
+        fixed = F.when(power == p, F.format_string(f"%.{5 - p}f", F.bround(x, 5 - p))).otherwise(fixed)
     trim = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", "")
     mantissa = trim(F.regexp_extract(sci, r"^(.*)e", 1))
     exponent = F.regexp_extract(sci, r"(e[+-]\d+)$", 1)
