@@ -21,14 +21,14 @@ def edge_after_fee(fair: Column, price: Column, rate: float) -> Column:
 
 def short_window_fee(price: Column, rate: float) -> Column:
     """Per share; price clamped to [0.01, 0.99], not rounded."""
-    p = F.least(F.lit(0.99), F.greatest(F.lit(0.01), price))
+    p = F.when(price.isNotNull(), F.least(F.lit(0.99), F.greatest(F.lit(0.01), price)))
     return max(0.0, rate) * p * (1.0 - p)
 
 
 def expected_profit(buy: Column, sell: Column, rate: float) -> Column:
     cost = buy + short_window_fee(buy, rate)
-    revenue = F.greatest(F.lit(0.0), sell - short_window_fee(sell, rate))
-    return F.when(cost > 0, F.try_divide(revenue - cost, cost)).otherwise(F.lit(0.0))
+    revenue = F.when(sell.isNotNull(), F.greatest(F.lit(0.0), sell - short_window_fee(sell, rate)))
+    return F.when(cost.isNull() | revenue.isNull(), F.lit(None).cast("double")).when(cost > 0, F.try_divide(revenue - cost, cost)).otherwise(F.lit(0.0))
 
 
 def required_profit(price: Column, tiers=PROFIT_TIERS) -> Column:

@@ -61,9 +61,8 @@ def temperature_rule(text: Column, default: Column) -> Column:
 
 def jsonish_list(text: Column) -> Column:
     """A JSON array of scalars, or JSON text of such an array, as array<string>."""
-    direct = F.from_json(text, "array<string>")
-    inner = F.from_json(text, "string")
-    return F.when(F.trim(text).startswith("["), direct).otherwise(F.from_json(inner, "array<string>"))
+    inner = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v string")["v"]
+    return F.from_json(inner, "array<string>")
 
 
 def pick_by_outcome(outcomes: Column, values: Column, name: str) -> Column:
@@ -105,15 +104,15 @@ def opposite(side: Column) -> Column:
 
 def move_target(base: Column, fraction: float) -> Column:
     """Price after moving that fraction of the way from base to 1."""
-    b = F.least(F.lit(0.999999), F.greatest(F.lit(0.0), base))
+    b = F.when(base.isNotNull(), F.least(F.lit(0.999999), F.greatest(F.lit(0.0), base)))
     return b + min(1.0, max(0.0, fraction)) * (1.0 - b)
 
 
 def move_fraction(previous: Column, price: Column) -> Column:
     """Rises relative to the way left to 1, drops relative to the previous price."""
-    p = F.least(F.lit(0.999999), F.greatest(F.lit(0.0), previous))
-    c = F.least(F.lit(1.0), F.greatest(F.lit(0.0), price))
-    return F.when(c >= p, (c - p) / F.greatest(F.lit(1e-9), 1.0 - p)).otherwise(F.coalesce(F.try_divide(p - c, p), F.lit(0.0)))
+    p = F.when(previous.isNotNull(), F.least(F.lit(0.999999), F.greatest(F.lit(0.0), previous)))
+    c = clamp01(price)
+    return F.when(p.isNull() | c.isNull(), F.lit(None).cast("double")).when(c >= p, (c - p) / F.greatest(F.lit(1e-9), 1.0 - p)).otherwise(F.coalesce(F.try_divide(p - c, p), F.lit(0.0)))
 
 
 def impossible(kind: Column, high: Column, low: Column, lo: Column, hi: Column) -> Column:

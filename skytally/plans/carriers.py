@@ -223,12 +223,47 @@ VIEWS["questions"] = (
     ],
     None,
 )
-# One prediction per order, in Fahrenheit tenths, spread over the events.
+# Observed extremes per event, in the event's unit.
+VIEWS["extremes"] = (
+    "market_raw",
+    [("event_id", "e"),
+     ("observed_high", f"CASE WHEN e % 7 = 0 THEN NULL ELSE CAST({_LO} + (cents + 7 * e) % 26 - 3 AS DOUBLE) END"),
+     ("observed_low", f"CASE WHEN e % 9 = 1 THEN NULL ELSE CAST({_LO} + (cents + 5 * e) % 24 - 2 AS DOUBLE) END")],
+    "j = 0",
+)
+# One prediction per order, in Fahrenheit tenths, spread over the events; value is in the event's unit.
 VIEWS["pred_raw"] = (
     "orders",
-    [("pred_id", "o_orderkey"), ("cents", _i("o_totalprice * 100 + 0.5")), ("o_custkey", "o_custkey")],
+    [("pred_id", "o_orderkey"), ("cents", _i("o_totalprice * 100 + 0.5")), ("event_id", _i("o_custkey / 8"))],
+    None,
+)
+VIEWS["preds"] = (
+    "pred_raw",
+    [("pred_id", "pred_id"), ("event_id", "event_id"), ("cents", "cents"),
+     ("unit", "CASE WHEN event_id % 5 = 4 THEN 'C' ELSE 'F' END"),
+     ("predicted_f", "(550 + cents % 420) / 10.0e0"),
+     ("value", "CASE WHEN event_id % 5 = 4 THEN ((550 + cents % 420) / 10.0e0 - 32.0e0) * 5.0e0 / 9.0e0 ELSE (550 + cents % 420) / 10.0e0 END"),
+     ("station", "concat('s', CAST(pred_id % 30 AS STRING))"),
+     ("month", "CAST(1 AS INT)"), ("local_hour", "CAST(pred_id % 2 AS INT)")],
     None,
 )
+VIEWS["calib"] = (
+    "nation",
+    [("station", "concat('S', CAST(n_nationkey AS STRING))"), ("month", "CAST(1 AS INT)"), ("local_hour", "CAST(n_nationkey % 2 AS INT)"),
+     ("error_mean_f", "(n_nationkey % 5 - 2) / 3.0e0"), ("error_sigma_f", "CASE WHEN n_nationkey % 6 = 0 THEN 0.0e0 ELSE 1.0e0 + n_nationkey % 4 / 3.0e0 END")],
+    None,
+)
+# Another venue's markets on the same events.
+VIEWS["venue"] = (
+    "markets",
+    [("event_id", "event_id"), ("ticker", "concat('T', CAST(market_id AS STRING))"),
+     ("floor_strike", "CASE WHEN market_id % 14 = 5 THEN NULL ELSE rule_min + event_id % 3 - 1 END"),
+     ("cap_strike", "rule_max + event_id % 3 - 1"),
+     ("yes_bid", "CASE WHEN market_id % 6 = 0 THEN 0.0e0 ELSE (market_id * 37 % 89) / 100.0e0 END"),
+     ("yes_ask", "CASE WHEN market_id % 8 = 0 THEN NULL ELSE (market_id * 37 % 89 + 3) / 100.0e0 END"),
+     ("last_price", "CASE WHEN market_id % 3 = 0 THEN NULL ELSE (market_id * 53 % 97) / 100.0e0 END")],
+    "event_id % 6 <> 5",
+)
 # --- order books ----------------------------------------------------------------------------------------
 VIEWS["levels"] = (
     "lineitem",
