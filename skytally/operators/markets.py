@@ -112,10 +112,11 @@ def with_interval_confidence(rows: DataFrame, calibration: DataFrame) -> DataFra
     out = rows.withColumn("station", F.upper("station")).join(cal, keys, "left")
     lower, upper = rounding_bounds_f(F.col("rule_min"), F.col("rule_max"), F.col("unit"))
     z = lambda bound: (F.col("predicted_f") - bound - F.col("_mu")) / F.nullif(F.col("_sigma"), F.lit(0.0))
-    top = F.when(F.col("rule_min").isNull(), 1.0).otherwise(normal_cdf(z(lower)))
-    low = F.when(F.col("rule_max").isNull(), 0.0).otherwise(normal_cdf(z(upper)))
+    out = out.withColumn("_zt", z(lower)).withColumn("_zl", z(upper))
+    top = F.when(F.col("rule_min").isNull(), 1.0).otherwise(normal_cdf(F.col("_zt")))
+    low = F.when(F.col("rule_max").isNull(), 0.0).otherwise(normal_cdf(F.col("_zl")))
     p = F.when(F.col("_sigma") > 0, K.clamp01(top - low))
-    return out.withColumn("regressor_probability", p).drop("_mu", "_sigma")
+    return out.withColumn("regressor_probability", p).drop("_mu", "_sigma", "_zt", "_zl")
 
 
 def combined_probability(classifier: Column, regressor: Column, wc: float = 0.5, wr: float = 0.5) -> Column:
