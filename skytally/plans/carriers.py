@@ -405,4 +405,4 @@ def ctes(*names: str) -> str:
         source, columns, where = VIEWS[name]
         cols = ", ".join(f"{_render(e, True)} AS {c}" for c, e in columns)
         parts.append(f"{name} AS (SELECT {cols} FROM {source}" + (f" WHERE {_render(where, True)}" if where else "") + ")")
-    return "WITH " + ",\n".join(parts)
+    return "WITH " + ",\n".join(parts) if parts else ""

@@ -1 +1 @@
-
+"""Structured Streaming jobs. Each has a batch twin in ``skytally.operators``."""
