@@ -8,18 +8,41 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 
+def _exact_error(x: Column, scale: float) -> Column:
+    """What ``x * scale`` loses when rounded to a double (Dekker's product)."""
+    split = 134217729.0
+    big = x * split
+    hi = big - (big - x)
+    lo = x - hi
+    s_hi = scale * split - (scale * split - scale)
+    s_lo = scale - s_hi
+    return ((hi * s_hi - x * scale) + hi * s_lo + lo * s_hi) + lo * s_lo
+
+
 def six_digits(x: Column) -> Column:
-    """Text with six significant digits, no trailing zeros, exponent form outside 1e-4 .. 1e6; null is ''."""
-    sci = F.format_string("%.5e", x)
-    power = F.regexp_extract(sci, r"e([+-]\d+)$", 1).cast("int")
-    # The decimal text is rounded at (5 - power) places; one branch per exponent keeps the scale a literal.
-    fixed = F.format_string("%.0f", x)
-    for p in range(-5, 5):
-        fixed = F.when(power == p, F.format_string(f"%.{5 - p}f", F.bround(x, 5 - p))).otherwise(fixed)
+    """Text with six significant digits, no trailing zeros, exponent form outside 1e-4 .. 1e6; null is ''.
+
+    Rounding follows the exact binary value, ties to even, as C formatting does.
+    """
+    a = F.abs(x)
+    power = F.regexp_extract(F.format_string("%.16e", a), r"e([+-]\d+)$", 1).cast("int")
+    sci = F.format_string("%.5e", a)
+    fixed = F.lit(None).cast("string")
+    for p in range(-4, 6):
+        scale = 10.0 ** (5 - p)
+        whole = F.floor(a * scale)
+        rest, error = a * scale - whole, _exact_error(a, scale)
+        up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+        n = whole + up.cast("long")
+        text = F.format_string(f"%.{5 - p}f", n / scale)
+        if p == 5:
+            text = F.when(n >= 1000000, "1e+06").otherwise(text)
+        fixed = F.when(power == p, text).otherwise(fixed)
     trim = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    mantissa = trim(F.regexp_extract(sci, r"^(.*)e", 1))
-    exponent = F.regexp_extract(sci, r"(e[+-]\d+)$", 1)
-    text = F.when(x == 0, "0").when((power < -4) | (power >= 6), F.concat(mantissa, exponent)).otherwise(trim(fixed))
+    mantissa, exponent = trim(F.regexp_extract(sci, r"^(.*)e", 1)), F.regexp_extract(sci, r"(e[+-]\d+)$", 1)
+    small = F.when(exponent == "e-04", "0.0001").otherwise(F.concat(mantissa, exponent))
+    text = F.when(x == 0, "0").when((power < -4) | (power >= 6), small).otherwise(trim(fixed))
+    text = F.when(x < 0, F.concat(F.lit("-"), text)).otherwise(text)
     return F.when(x.isNull() | F.isnan(x), "").otherwise(text)
 
 
