@@ -8,15 +8,25 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 
-def _exact_error(x: Column, scale: float) -> Column:
+def _exact_error(x: Column, scale: Column) -> Column:
     """What ``x * scale`` loses when rounded to a double (Dekker's product)."""
-    split = 134217729.0
-    big = x * split
-    hi = big - (big - x)
-    lo = x - hi
-    s_hi = scale * split - (scale * split - scale)
-    s_lo = scale - s_hi
-    return ((hi * s_hi - x * scale) + hi * s_lo + lo * s_hi) + lo * s_lo
+    def halves(v):
+        big = v * 134217729.0
+        hi = big - (big - v)
+        return hi, v - hi
+
+    x_hi, x_lo = halves(x)
+    s_hi, s_lo = halves(scale)
+    return ((x_hi * s_hi - x * scale) + x_hi * s_lo + x_lo * s_hi) + x_lo * s_lo
+
+
+def _bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _power_of_ten(exponents: range, index: Column) -> Column:
+    return F.get(F.array(*[F.lit(10.0 ** e) for e in exponents]), F.greatest(F.lit(0), index))
 
 
 def six_digits(x: Column) -> Column:
@@ -24,24 +34,33 @@ def six_digits(x: Column) -> Column:
 
     Rounding follows the exact binary value, ties to even, as C formatting does.
     """
-    a = F.abs(x)
-    power = F.regexp_extract(F.format_string("%.16e", a), r"e([+-]\d+)$", 1).cast("int")
-    sci = F.format_string("%.5e", a)
-    fixed = F.lit(None).cast("string")
-    for p in range(-4, 6):
-        scale = 10.0 ** (5 - p)
-        whole = F.floor(a * scale)
-        rest, error = a * scale - whole, _exact_error(a, scale)
-        up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
-        n = whole + up.cast("long")
-        text = F.format_string(f"%.{5 - p}f", n / scale)
-        if p == 5:
-            text = F.when(n >= 1000000, "1e+06").otherwise(text)
-        fixed = F.when(power == p, text).otherwise(fixed)
     trim = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    mantissa, exponent = trim(F.regexp_extract(sci, r"^(.*)e", 1)), F.regexp_extract(sci, r"(e[+-]\d+)$", 1)
-    small = F.when(exponent == "e-04", "0.0001").otherwise(F.concat(mantissa, exponent))
-    text = F.when(x == 0, "0").when((power < -4) | (power >= 6), small).otherwise(trim(fixed))
+
+    def rounded(whole, rest, half, error):
+        up = (rest > half) | ((rest == half) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+        return whole + up.cast("long")
+
+    def plain(a, power):
+        scale = _power_of_ten(range(9, -1, -1), power + 4)
+        n = _bind(F.floor(a * scale), lambda whole: rounded(whole, a * scale - whole, F.lit(0.5), _exact_error(a, scale)))
+        return _bind(n, lambda v: F.when((power == 5) & (v >= 1000000), "1e+06").otherwise(trim(F.format_string("%.9f", v / scale))))
+
+    def large(a, power):
+        unit = _power_of_ten(range(1, 18), power - 6)
+        n = _bind(a % unit, lambda rest: rounded(((a - rest) / unit).cast("long"), rest, unit / 2, F.lit(0.0)))
+        text = lambda v, p: F.concat(trim(F.format_string("%.5f", v / 100000.0)), F.format_string("e+%02d", p))
+        return _bind(n, lambda v: F.when(v >= 1000000, text(v / 10, power + 1)).otherwise(text(v, power)))
+
+    def far(a):
+        sci = F.format_string("%.5e", a)
+        exponent = F.regexp_extract(sci, r"(e[+-]\d+)$", 1)
+        return F.when(exponent == "e-04", "0.0001").otherwise(F.concat(trim(F.regexp_extract(sci, r"^(.*)e", 1)), exponent))
+
+    def positive(a):
+        power = F.regexp_extract(F.format_string("%.16e", a), r"e([+-]\d+)$", 1).cast("int")
+        return _bind(power, lambda p: F.when(p.between(-4, 5), plain(a, p)).when(p.between(6, 22), large(a, p)).otherwise(far(a)))
+
+    text = F.when(x == 0, "0").otherwise(_bind(F.abs(x), positive))
     text = F.when(x < 0, F.concat(F.lit("-"), text)).otherwise(text)
     return F.when(x.isNull() | F.isnan(x), "").otherwise(text)
 
