@@ -14,6 +14,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from skytally.operators.scale import spread
 from skytally.session import prepare
 
 _INT = "CAST(floor({0}) AS BIGINT)"
@@ -372,7 +373,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     naive = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
+    df = df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
+    return spread(df)
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -382,7 +384,15 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = frame(spark, sf_dir, source)
     if where:
         df = df.filter(_render(where, False))
-    return df.selectExpr(*[f"{_render(e, False)} AS {c}" for c, e in columns])
+    made_once = TEXTS.get(name)
+    out = df.selectExpr(*[f"{'array' if c == made_once else ''}({_render(e, False)}) AS {c}" for c, e in columns])
+    # A filter on a long text expression would be pushed below it and build the text twice; a one-element
+    # explode keeps it where it is, as a scan column would be.
+    return out.withColumn(made_once, F.explode(made_once)) if made_once else out
+
+
+# Views whose long text column is built once per row.
+TEXTS = {"metar": "metar", "archive_lines": "value", "payload_text": "payload", "log_lines": "value", "questions": "question"}
 
 
 def _needed(names) -> list[str]:

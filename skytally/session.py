@@ -11,6 +11,9 @@ REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
 }
+# The JVM never compiles a method of more than 8000 bytecodes. Wide expression lists are then better split into
+# small methods than fused into one interpreted giant.
+COMPILED = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 ADVISED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -23,6 +26,7 @@ def build(master: str = "local[8]", name: str = "skytally", shuffle_partitions:
     builder = SparkSession.builder.master(master).appName(name)
     settings = {
         **REQUIRED,
+        **COMPILED,
         **ADVISED,
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.driver.memory": "8g",
@@ -39,7 +43,7 @@ def build(master: str = "local[8]", name: str = "skytally", shuffle_partitions:
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Set what results depend on; leave sizing choices of the given session alone."""
-    for key, value in REQUIRED.items():
+    for key, value in {**REQUIRED, **COMPILED}.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
