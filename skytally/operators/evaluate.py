@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from skytally.operators.observations import modal_minutes
-from skytally.operators.scale import exact_percentiles, top_rows
+from skytally.operators.scale import exact_percentiles, running, top_rows
 
 
 def _pct(condition: Column) -> Column:
@@ -87,8 +86,10 @@ def rank_stations(by_station: DataFrame, by_station_hour: DataFrame) -> DataFram
         F.max_by(row, F.struct("mae_f", "rmse_f", -F.col("local_hour"))).alias("worst"),
     )
     out = by_station.join(hours, "station", "left").select(by_station["*"], *pick("best", "best"), *pick("worst", "worst"))
-    order = Window.orderBy("mae_f", "rmse_f", "station")
-    return out.withColumn("rank_by_mae", F.row_number().over(order))
+    # The rank is a running count over bands of the error, so the stations never meet in one task.
+    banded = out.withColumn("_band", F.coalesce(F.floor(F.col("mae_f") * 100).cast("long"), F.lit(2**40)))
+    ranked = running(banded, [], ["_band"], ["mae_f", "rmse_f", "station"], {"rank_by_mae": ("count", F.lit(1))})
+    return ranked.drop("_band")
 
 
 def compare_with_baseline(report: DataFrame, baseline: DataFrame, key: str = "local_hour") -> DataFrame:
@@ -139,9 +140,12 @@ def calibration(df: DataFrame, bin_width: float = 0.05) -> DataFrame:
         F.count("*").alias("rows"), F.avg(e).alias("error_mean_f"), F.stddev_samp(e).alias("error_std_f"),
         F.avg(F.abs(e)).alias("mae_f"), _pct(F.abs(e) <= 1).alias("within_1f_pct"), _pct(F.abs(e) <= 2).alias("within_2f_pct"),
     )
-    middle = exact_percentiles(df.select(*keys, "error_f"), keys, "error_f", {"error_median_f": 0.5}, bin_width)
-    around = df.join(middle, keys).select(*keys, F.abs(e - F.col("error_median_f")).alias("_d"), F.abs(e).alias("_a"))
+    # Both medians of the errors come from one pass over stacked values.
+    stacked = df.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("w"), e.alias("x")), F.struct(F.lit(1).alias("w"), F.abs(e).alias("x")))).alias("s"))
+    medians = exact_percentiles(stacked.select(*keys, "s.w", "s.x"), [*keys, "w"], "x", {"p": 0.5}, bin_width)
+    middle = medians.groupBy(*keys).agg(
+        F.max(F.when(F.col("w") == 0, F.col("p"))).alias("error_median_f"), F.max(F.when(F.col("w") == 1, F.col("p"))).alias("median_abs_error_f"))
+    around = df.join(middle, keys).select(*keys, F.abs(e - F.col("error_median_f")).alias("_d"))
     spread = exact_percentiles(around, keys, "_d", {"_mad": 0.5}, bin_width)
-    size = exact_percentiles(around, keys, "_a", {"median_abs_error_f": 0.5}, bin_width)
-    out = base.join(middle, keys).join(spread, keys).join(size, keys)
+    out = base.join(middle, keys).join(spread, keys)
     return out.withColumn("error_robust_sigma_f", F.col("_mad") * 1.4826).drop("_mad")

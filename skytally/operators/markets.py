@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skytally.functions import market as K
 from skytally.functions.stats import normal_cdf
 from skytally.functions.units import comparable_bounds, contains, convert, half_up, midpoint_f, rounding_bounds_f
-from skytally.operators.scale import asof, earliest_by, running, top_rows
+from skytally.operators.scale import earliest_by, running, top_rows
 
 CELL = 10
 FIRST, LAST = -30, 40  # cells of -300 .. 409 degrees; values beyond fall in the outermost ones
@@ -69,16 +69,21 @@ def adjacent_pair(preds: DataFrame, markets: DataFrame, value: str = "value") ->
     row = F.struct("lo", "hi", "market_id")
     held = containing(slim, fin, value).groupBy("pred_id").agg(
         F.count("*").alias("matches"), F.min(row).alias("a"), F.max(row).alias("b"))
-    both = held.filter("matches = 2").select("pred_id", "matches", F.col("a.market_id").alias("lower_id"), F.col("b.market_id").alias("upper_id"))
-    free = slim.join(held.select("pred_id"), "pred_id", "left_anti")
-    below = fin.groupBy("event_id", "hi").agg(F.min("market_id").alias("lower_id"))
-    above = fin.groupBy("event_id", F.negative("lo").alias("neg")).agg(F.min("market_id").alias("upper_id"))
-    # Nothing holds these values, so "not after" is the same as "strictly before" for the bounds.
-    found = asof(free, below, ["event_id"], value, "hi", ["lower_id"], CELL)
-    found = asof(found.withColumn("_neg", -F.col(value)), above, ["event_id"], "_neg", "neg", ["upper_id"], CELL)
-    near = found.filter("asof_lower_id IS NOT NULL AND asof_upper_id IS NOT NULL").select(
-        "pred_id", F.lit(0).cast("long").alias("matches"), F.col("asof_lower_id").alias("lower_id"), F.col("asof_upper_id").alias("upper_id"))
-    return both.unionByName(near)
+    # Values and bounds in one order: the last upper bound before a value and the next lower bound after it.
+    at = lambda df, order, side, **cols: df.select("event_id", F.col(order).alias("_o"), F.lit(side).alias("_side"), *[F.col(c).alias(n) for n, c in cols.items()])
+    line = at(slim, value, 1, pred_id="pred_id").unionByName(
+        at(fin.groupBy("event_id", "hi").agg(F.min("market_id").alias("m")), "hi", 0, below="m"), allowMissingColumns=True).unionByName(
+        at(fin.groupBy("event_id", "lo").agg(F.min("market_id").alias("m")), "lo", 2, above="m"), allowMissingColumns=True)
+    line = line.withColumn("_band", F.floor(F.col("_o") / CELL).cast("long"))
+    seen = running(line, ["event_id"], ["_band"], ["_o", "_side"], {"lower_id": ("last", F.col("below")), "upper_id": ("next", F.col("above"))})
+    rows = seen.filter("_side = 1").select("pred_id", "lower_id", "upper_id").join(held, "pred_id", "left")
+    n = F.coalesce("matches", F.lit(0).cast("long"))
+    out = rows.select(
+        "pred_id", n.alias("matches"),
+        F.when(n == 2, F.col("a.market_id")).when(n == 0, F.col("lower_id")).alias("lower_id"),
+        F.when(n == 2, F.col("b.market_id")).when(n == 0, F.col("upper_id")).alias("upper_id"),
+    )
+    return out.filter("lower_id IS NOT NULL AND upper_id IS NOT NULL")
 
 
 def boundary_snap(preds: DataFrame, markets: DataFrame, tolerance_f: float, value: str = "value") -> DataFrame:

@@ -56,6 +56,7 @@ _PARTIAL = {
     "max": lambda c, o: F.max(c),
     "last": lambda c, o: F.max_by(c, F.when(c.isNotNull(), F.struct(*o))),
     "first": lambda c, o: F.min_by(c, F.when(c.isNotNull(), F.struct(*o))),
+    "next": lambda c, o: F.min_by(c, F.when(c.isNotNull(), F.struct(*o))),
 }
 _OVER_BLOCKS = {
     "sum": F.sum,
@@ -64,6 +65,7 @@ _OVER_BLOCKS = {
     "max": F.max,
     "last": lambda c: F.last(c, ignorenulls=True),
     "first": lambda c: F.first(c, ignorenulls=True),
+    "next": lambda c: F.first(c, ignorenulls=True),
 }
 _IN_BLOCK = {**_OVER_BLOCKS, "count": F.count}
 _COMBINE = {
@@ -73,6 +75,7 @@ _COMBINE = {
     "max": lambda before, here: F.greatest(before, here),
     "last": lambda before, here: F.coalesce(here, before),
     "first": lambda before, here: F.coalesce(before, here),
+    "next": lambda after, here: F.coalesce(here, after),
 }
 
 
@@ -85,8 +88,8 @@ def running(
 ) -> DataFrame:
     """Running values over ``keys`` in ``(block, order)`` order, one task per (key, block).
 
-    ``specs`` maps an output column to ``(kind, expression)``; kinds are sum, count, min, max, last and
-    first (the last two skip nulls). A third element ``True`` leaves the current row out. ``block`` must be
+    ``specs`` maps an output column to ``(kind, expression)``; kinds are sum, count, min, max, last,
+    first and next (the last three skip nulls; next looks forward from the row). A third element ``True`` leaves the current row out. ``block`` must be
     a coarsening of the order. Keys and blocks must not be null.
     """
     order_cols = [F.col(c) for c in order]
@@ -97,14 +100,19 @@ def running(
     totals = src.groupBy(*keys, *block).agg(
         *[_PARTIAL[kind](F.col(names[out]), order_cols).alias(f"_t_{out}") for out, (kind, _) in specs.items()]
     )
-    over_blocks = Window.partitionBy(*keys).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    by_block = Window.partitionBy(*keys).orderBy(*block)
+    over_blocks = lambda kind: by_block.rowsBetween(1, Window.unboundedFollowing) if kind == "next" else by_block.rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(
         *keys,
         *block,
-        *[_OVER_BLOCKS[kind](F.col(f"_t_{out}")).over(over_blocks).alias(f"_b_{out}") for out, (kind, _) in specs.items()],
+        *[_OVER_BLOCKS[kind](F.col(f"_t_{out}")).over(over_blocks(kind)).alias(f"_b_{out}") for out, (kind, _) in specs.items()],
     )
     ordered = Window.partitionBy(*keys, *block).orderBy(*order_cols)
-    here = {out: ordered.rowsBetween(Window.unboundedPreceding, -1 if out in before_only else 0) for out in specs}
+    here = {
+        out: ordered.rowsBetween(1 if out in before_only else 0, Window.unboundedFollowing) if kind == "next"
+        else ordered.rowsBetween(Window.unboundedPreceding, -1 if out in before_only else 0)
+        for out, (kind, _) in specs.items()
+    }
     local = src.select(
         *df.columns,
         *[_IN_BLOCK[kind](F.col(names[out])).over(here[out]).alias(f"_l_{out}") for out, (kind, _) in specs.items()],

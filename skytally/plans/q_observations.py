@@ -418,13 +418,19 @@ def _series(v):
     return rows.join(temps, "seq").select("station", "local_date", "epoch", "seq", "temp_f", "is_extra", "valid_utc")
 
 
+def _temps(v):
+    """The same series where extra reports do not matter: no report text is needed."""
+    rows = O.with_local_date(v.obs).withColumn("temp_f", c_to_f(F.col("tenths") / 10.0))
+    return rows.select("station", "local_date", "epoch", "seq", "temp_f", F.lit(False).alias("is_extra"))
+
+
 @query(
     "win1_day_running", "obs metar",
     SQL_SERIES + f" SELECT seq, {r('min(t) OVER d')} AS day_min_so_far_f, {r('max(t) OVER d')} AS day_max_so_far_f FROM s"
     " WINDOW d AS (PARTITION BY station, ld ORDER BY epoch, seq ROWS UNBOUNDED PRECEDING)",
 )
 def win1(v):
-    return O.with_day_running(_series(v)).select("seq", *[tidy(F.col(c)).alias(c) for c in ("day_min_so_far_f", "day_max_so_far_f")])
+    return O.with_day_running(_temps(v)).select("seq", *[tidy(F.col(c)).alias(c) for c in ("day_min_so_far_f", "day_max_so_far_f")])
 
 
 def _ctx(cond: str, p: str) -> str:
@@ -446,7 +452,7 @@ def _six(df, names):
 
 @query("win2_lookback_context", "obs metar", SQL_SERIES + " SELECT a.seq, " + _ctx("TRUE", "obs") + f", {r('max(b.t) - min(b.t)')} AS obs_temp_range_f" + SQL_PAIRS)
 def win2(v):
-    df = O.series_features(_series(v), lag_hours=0)
+    df = O.series_features(_temps(v), lag_hours=0)
     return df.select("seq", *_six(df, [f"obs_{c}" for c in CTX] + ["obs_temp_range_f"]))
 
 
@@ -468,7 +474,7 @@ def win3(v):
     " FROM s LEFT JOIN d ON s.station = d.station AND d.ld + 1 = s.ld",
 )
 def joi2(v):
-    df = O.series_features(_series(v), lag_hours=0)
+    df = O.series_features(_temps(v), lag_hours=0)
     return df.select("seq", *[tidy(F.col(c)).alias(c) for c in ("previous_local_day_high_f", "previous_local_day_low_f")])
 
 
@@ -488,7 +494,7 @@ def _lag_sql(step: int, name: str) -> str:
     + " FROM s " + " ".join(f"LEFT JOIN l{h}h ON s.seq = l{h}h.seq" for h in range(1, 7)),
 )
 def joi3(v):
-    df = O.series_features(_series(v), lag_hours=6)
+    df = O.series_features(_temps(v), lag_hours=6)
     return df.select("seq", *[tidy(F.col(f"{p}_{h}h")).alias(f"{p}_{h}h") for h in range(1, 7) for p in ("lag", "change")])
 
 
@@ -501,5 +507,5 @@ _HALF = list(range(1, 20, 2))
     + " FROM s " + " ".join(f"LEFT JOIN l{m * 30}m ON s.seq = l{m * 30}m.seq" for m in _HALF),
 )
 def joi4(v):
-    df = O.series_features(_series(v), lag_hours=0, half_hour_lags=19)
+    df = O.series_features(_temps(v), lag_hours=0, half_hour_lags=19)
     return df.select("seq", *[tidy(F.col(f"change_{m * 30}m")).alias(f"change_{m * 30}m") for m in _HALF])

@@ -29,12 +29,13 @@ def same(a, b, *cols):
 
 def test_running_equals_window(series):
     specs = {"s": ("sum", F.col("v")), "n": ("count", F.col("v")), "hi": ("max", F.col("v")), "lo": ("min", F.col("v")),
-             "la": ("last", F.col("v")), "fi": ("first", F.col("v")), "prev": ("last", F.struct("v"), True)}
+             "la": ("last", F.col("v")), "fi": ("first", F.col("v")), "prev": ("last", F.struct("v"), True), "nx": ("next", F.col("v"))}
     got = X.running(X.with_block(series, "t", 500), ["k"], [X.BLOCK], ["t", "seq"], specs).withColumn("prev", F.col("prev.v"))
+    ahead = Window.partitionBy("k").orderBy("t", "seq").rowsBetween(0, Window.unboundedFollowing)
     w = Window.partitionBy("k").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)
     want = series.select("*", F.sum("v").over(w).alias("s"), F.count("v").over(w).alias("n"), F.max("v").over(w).alias("hi"), F.min("v").over(w).alias("lo"),
-                         F.last("v", True).over(w).alias("la"), F.first("v", True).over(w).alias("fi"), F.lag("v").over(Window.partitionBy("k").orderBy("t", "seq")).alias("prev"))
-    same(got, want, "seq", "s", "n", "hi", "lo", "la", "fi", "prev")
+                         F.last("v", True).over(w).alias("la"), F.first("v", True).over(w).alias("fi"), F.lag("v").over(Window.partitionBy("k").orderBy("t", "seq")).alias("prev"), F.first("v", True).over(ahead).alias("nx"))
+    same(got, want, "seq", "s", "n", "hi", "lo", "la", "fi", "prev", "nx")
 
 
 def test_running_without_keys(series):
