@@ -65,7 +65,7 @@ _OVER_BLOCKS = {
     "max": F.max,
     "last": lambda c: F.last(c, ignorenulls=True),
     "first": lambda c: F.first(c, ignorenulls=True),
-    "next": lambda c: F.first(c, ignorenulls=True),
+    "next": lambda c: F.last(c, ignorenulls=True),  # in descending order
 }
 _IN_BLOCK = {**_OVER_BLOCKS, "count": F.count}
 _COMBINE = {
@@ -100,17 +100,17 @@ def running(
     totals = src.groupBy(*keys, *block).agg(
         *[_PARTIAL[kind](F.col(names[out]), order_cols).alias(f"_t_{out}") for out, (kind, _) in specs.items()]
     )
-    by_block = Window.partitionBy(*keys).orderBy(*block)
-    over_blocks = lambda kind: by_block.rowsBetween(1, Window.unboundedFollowing) if kind == "next" else by_block.rowsBetween(Window.unboundedPreceding, -1)
+    # "next" runs in descending order: a frame that ends at the last row would be re-read from every row.
+    way = lambda kind, names: [F.desc(c) if kind == "next" else F.asc(c) for c in names]
+    over_blocks = lambda kind: Window.partitionBy(*keys).orderBy(*way(kind, block)).rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(
         *keys,
         *block,
         *[_OVER_BLOCKS[kind](F.col(f"_t_{out}")).over(over_blocks(kind)).alias(f"_b_{out}") for out, (kind, _) in specs.items()],
     )
-    ordered = Window.partitionBy(*keys, *block).orderBy(*order_cols)
+    ordered = lambda kind: Window.partitionBy(*keys, *block).orderBy(*way(kind, order))
     here = {
-        out: ordered.rowsBetween(1 if out in before_only else 0, Window.unboundedFollowing) if kind == "next"
-        else ordered.rowsBetween(Window.unboundedPreceding, -1 if out in before_only else 0)
+        out: ordered(kind).rowsBetween(Window.unboundedPreceding, -1 if out in before_only else 0)
         for out, (kind, _) in specs.items()
     }
     local = src.select(
