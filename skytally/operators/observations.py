@@ -149,7 +149,8 @@ def series_features(
 ) -> DataFrame:
     """Look-back context, lags and daily context next to each row.
 
-    Rows need station, local_date, epoch, seq, ``temp`` and is_extra. Frames run over the minute summary in
+    Rows need station, local_date, epoch, seq, ``temp`` and is_extra, and are read four times: pass a stored
+    table or a cheap projection. Frames run over the minute summary in
     (station, week) blocks with an overlap of the longest reach, so no task holds a whole station.
     """
     rows = rows if temp == "temp_f" else rows.withColumn("temp_f", F.col(temp))

@@ -9,8 +9,11 @@ from skytally.functions.timeparse import with_local_calendar
 from skytally.functions.units import tidy
 from skytally.ml import splits as S
 from skytally.ml import train as TR
+from skytally.operators import features as FT
 from skytally.operators import observations as O
+from skytally.plans.q_observations import SQL_AUTO, SQL_LOCAL, SQL_TENTHS
 from skytally.plans.registry import query, r
+from skytally.session import stored
 
 
 def _years(v):
@@ -42,6 +45,8 @@ def _training(v):
     """Feature rows of labelled days; days of the month stand in for years in the split."""
     decoded = M.with_temperature(M.with_wind(M.with_sections(O.mark_extra(v.metar)))).drop("body", "remarks")
     rows = with_local_calendar(decoded)
+    keep = [f for f in FEATURES if f in rows.columns]
+    rows = stored(rows.select("station", "seq", "epoch", "valid_utc", "local_date", "local_minute", "is_extra", *keep), "decoded")
     rows = O.series_features(rows, lag_hours=0)
     highs = O.daily_highs(v.metar).select("station", "local_date", (F.col("high_c") * 9 / 5 + 32).alias("daily_high_f"))
     return rows.join(highs, ["station", "local_date"]).withColumn("split", F.when(F.col("local_day") > 24, "validation").otherwise("train"))
@@ -84,3 +89,32 @@ def ml10(v):
 @query("ml8_live_feature_rows")
 def ml8(v):
     return TR.live_rows(_training(v), O.report_schedule(v.obs, hours=720), 9, 19).select("station", "seq", "valid_utc", *FEATURES)
+
+
+SQL_LABELLED = (
+    f", hi AS (SELECT station, CAST({SQL_LOCAL} AS DATE) AS d, max({SQL_TENTHS}) AS h FROM metar WHERE NOT {SQL_AUTO} AND {SQL_TENTHS} IS NOT NULL GROUP BY 1, 2),"
+    f" lb AS (SELECT m.*, {SQL_LOCAL} AS lt, CAST({SQL_LOCAL} AS DATE) AS ld FROM metar m JOIN hi ON m.station = hi.station AND CAST({SQL_LOCAL} AS DATE) = hi.d WHERE NOT {SQL_AUTO}"
+    f" AND hour({SQL_LOCAL}) >= 9 AND (hour({SQL_LOCAL}) < 19 OR (hour({SQL_LOCAL}) = 19 AND minute({SQL_LOCAL}) = 0))),"
+    " c AS (SELECT station, utc_minute, count(*) AS n, min(epoch * 1000000000 + seq) AS f FROM lb GROUP BY 1, 2), mm AS (SELECT station, first(utc_minute ORDER BY n DESC, f) AS um FROM c GROUP BY 1),"
+    f" x AS (SELECT lb.*, utc_minute <> um OR contains(' ' || lb.metar || ' ', ' COR ') AS ex, coalesce({SQL_TENTHS.replace('metar', 'lb.metar')},"
+    " (SELECT CASE WHEN starts_with(w, 'M') THEN -CAST(substr(w, 2) AS DOUBLE) ELSE CAST(w AS DOUBLE) END FROM (SELECT nullif(regexp_extract(split_part(lb.metar, ' RMK ', 1), ' (M?[0-9][0-9])/(M?[0-9][0-9]) ', 1), '') AS w))) * 9.0e0 / 5.0e0 + 32.0e0 AS t"
+    " FROM lb JOIN mm ON lb.station = mm.station)"
+)
+
+
+@query(
+    "snk1_feature_table", "metar",
+    SQL_LABELLED + f" SELECT a.seq, {r('any_value(a.t)')} AS temp_f, CAST(any_value(a.ex) AS INT) AS is_extra_metar_report, count(b.t) AS metar_obs_count_past_6h, {r('max(b.t)')} AS metar_obs_max_temp_f_past_6h,"
+    f" count(b.t) FILTER (WHERE b.ex) AS extra_metar_count_past_6h, {r('CASE WHEN hour(any_value(a.lt)) < 15 THEN min(b.t) FILTER (WHERE b.ld = a.ld AND (b.epoch < a.epoch OR (b.epoch = a.epoch AND b.seq <= a.seq))) END')} AS six_hour_day_min"
+    " FROM x a JOIN x b ON a.station = b.station AND b.epoch BETWEEN a.epoch - 21600 AND a.epoch GROUP BY a.seq",
+)
+def snk1(v):
+    """In-window labelled rows through the whole feature job; a handful of its columns are compared."""
+    labelled = O.label_rows(v.metar).withColumn("station_id", F.substring("station", 2, 20).cast("int"))
+    labelled = stored(labelled.select("station", "station_id", "tz", "seq", "valid_utc", "metar", "daily_high_f"), "labelled")
+    rows = FT.feature_table(labelled)
+    six = F.when(F.col("local_hour") < 15, F.col("current_local_day_min_temp_f_so_far"))
+    out = rows.select("seq", tidy(F.col("temp_f")).alias("temp_f"), "is_extra_metar_report", F.col("metar_obs_count_past_6h").cast("long").alias("metar_obs_count_past_6h"),
+                      tidy(F.col("metar_obs_max_temp_f_past_6h")).alias("metar_obs_max_temp_f_past_6h"), F.col("extra_metar_count_past_6h").cast("long").alias("extra_metar_count_past_6h"), "local_hour",
+                      tidy(six).alias("six_hour_day_min"))
+    return out.drop("local_hour")

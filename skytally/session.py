@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every job needs for right results; all can be set on a running session.
 REQUIRED = {
@@ -57,3 +58,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a table that several branches of a job read into the shared checkpoint folder, and read it back.
+
+    Runs a job. Each branch then scans only its columns instead of repeating the work above, and a lost executor
+    costs no more than the branch.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
