@@ -177,15 +177,20 @@ def improved_price(price: Column, fair: Column, r: Rules) -> Column:
 
 
 def best_candidate(rows: DataFrame, r: Rules) -> DataFrame:
-    """The better side per tick among those that pass every check, with the improved price."""
-    sides = F.explode(F.array(
-        F.struct(F.lit("UP").alias("side"), F.lit(0).alias("o"), F.col("up_ask").alias("buy_price"), F.col("up_fair").alias("fair")),
-        F.struct(F.lit("DOWN").alias("side"), F.lit(1).alias("o"), F.col("down_ask").alias("buy_price"), F.col("down_fair").alias("fair"))))
-    s = rows.filter("up_fair IS NOT NULL").select("asset", "us", "seq", "elapsed_ms", sides.alias("s")).select("asset", "us", "seq", "elapsed_ms", "s.*")
-    s = s.withColumn("profit", FE.expected_profit(F.col("buy_price"), F.col("fair"), r.rate)).withColumn("need", FE.required_profit(F.col("buy_price")))
-    s = s.filter(F.size(decision_reasons(F.col("buy_price"), F.col("fair"), F.col("elapsed_ms"), r, F.col("need"), F.col("profit"))) == 0)
-    pick = F.max_by(F.struct("side", "buy_price", "fair", "profit"), F.struct("profit", -F.col("o")))
-    out = s.groupBy("asset", "us", "seq").agg(pick.alias("b")).select("asset", "us", "seq", "b.*")
+    """The better side per tick among those that pass every check, with the improved price. Both sides are
+    columns of the tick, so they are compared within the row."""
+    out = rows.filter("up_fair IS NOT NULL").select("asset", "us", "seq", "elapsed_ms", "up_ask", "up_fair", "down_ask", "down_fair")
+    for s in ("up", "down"):
+        price, fair = F.col(f"{s}_ask"), F.col(f"{s}_fair")
+        out = out.withColumns({f"_{s}_need": FE.required_profit(price), f"_{s}_profit": FE.expected_profit(price, fair, r.rate)})
+
+    def offer(s: str, rank: int) -> Column:
+        price, fair, need, profit = [F.col(c) for c in (f"{s}_ask", f"{s}_fair", f"_{s}_need", f"_{s}_profit")]
+        fine = F.size(decision_reasons(price, fair, F.col("elapsed_ms"), r, need, profit)) == 0
+        return F.when(fine, F.struct(profit.alias("profit"), F.lit(rank).alias("rank"), F.lit(s.upper()).alias("side"), price.alias("buy_price"), fair.alias("fair")))
+
+    best = F.array_max(F.array_compact(F.array(offer("up", 1), offer("down", 0))))
+    out = out.select("asset", "us", "seq", best.alias("b")).filter("b IS NOT NULL").select("asset", "us", "seq", "b.side", "b.buy_price", "b.fair", "b.profit")
     return out.withColumn("limit_price", improved_price(F.col("buy_price"), F.col("fair"), r))
 
 

@@ -88,10 +88,10 @@ def agg12(v):
 
 @query(
     "agg11_point_summary", "feed_a feed_b",
-    SQL_BOTH + " SELECT station, d AS local_date, count(a) AS a_count, count(b) AS b_count, count_if(a IS NOT NULL AND b IS NOT NULL) AS common_count, count_if(a <> b) AS mismatch_count,"
+    SQL_BOTH + " SELECT station, d AS local_date, count(a) AS a_count, count(b) AS b_count, count_if(a IS NOT NULL AND b IS NOT NULL) AS common_count, count(*) FILTER (WHERE a <> b) AS mismatch_count,"
     " count_if(b IS NULL) AS only_a_count, count_if(a IS NULL) AS only_b_count, min(a) AS a_min, max(a) AS a_max, min(b) AS b_min, max(b) AS b_max,"
     " array_to_string(list(concat(epoch, ':', a, ':', b) ORDER BY epoch) FILTER (WHERE a <> b)[1:5], ',') AS sample_mismatches,"
-    " count_if(a <> b) + count_if(b IS NULL) + count_if(a IS NULL) = 0 AS exact_match, min(b) - min(a) AS low_diff, max(b) - max(a) AS high_diff FROM bo GROUP BY 1, 2",
+    " count(*) FILTER (WHERE a <> b) + count_if(b IS NULL) + count_if(a IS NULL) = 0 AS exact_match, min(b) - min(a) AS low_diff, max(b) - max(a) AS high_diff FROM bo GROUP BY 1, 2",
 )
 def agg11(v):
     return C.point_summary(C.side_by_side(v.feed_a, v.feed_b))
@@ -99,8 +99,8 @@ def agg11(v):
 
 @query(
     "agg26_station_ratios", "feed_a feed_b",
-    SQL_BOTH + f" SELECT station, count_if(a IS NOT NULL AND b IS NOT NULL) AS matched, count_if(a <> b) AS mismatched, count_if(b IS NULL) AS only_a, count_if(a IS NULL) AS only_b, count(*) AS points,"
-    f" {r('count_if(a <> b) / count_if(a IS NOT NULL AND b IS NOT NULL)')} AS mismatch_ratio, {r('(count_if(b IS NULL) + count_if(a IS NULL)) / count(*)')} AS one_sided_ratio FROM bo GROUP BY 1",
+    SQL_BOTH + f" SELECT station, count_if(a IS NOT NULL AND b IS NOT NULL) AS matched, count(*) FILTER (WHERE a <> b) AS mismatched, count_if(b IS NULL) AS only_a, count_if(a IS NULL) AS only_b, count(*) AS points,"
+    f" {r('count(*) FILTER (WHERE a <> b) / nullif(count_if(a IS NOT NULL AND b IS NOT NULL), 0)')} AS mismatch_ratio, {r('(count_if(b IS NULL) + count_if(a IS NULL)) / count(*)')} AS one_sided_ratio FROM bo GROUP BY 1",
 )
 def agg26(v):
     df = C.station_ratios(C.side_by_side(v.feed_a, v.feed_b))
