@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -95,6 +96,12 @@ def score(df: DataFrame, model: PipelineModel, features: Sequence[str], observed
     return out.withColumn("predicted_high_f", p).drop(*hidden)
 
 
+def score_by_hour(df: DataFrame, runs: dict[int, Trained], **options) -> DataFrame:
+    """Each hour's rows through its own model, as one table. Rows of hours without a model are left out."""
+    parts = [score(df.filter(F.col("local_hour") == h), t.model, t.features, **options) for h, t in sorted(runs.items())]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def train_classifier(df: DataFrame, features: Sequence[str], target: str = TARGET, trees: int = 20, depth: int = 6, seed: int = 42):
     """Classes are whole degrees; labels count from the lowest one. Returns (model, lowest, features)."""
     checkpoint_dir(df.sparkSession)

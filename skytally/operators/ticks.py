@@ -189,8 +189,10 @@ def best_candidate(rows: DataFrame, r: Rules) -> DataFrame:
         fine = F.size(decision_reasons(price, fair, F.col("elapsed_ms"), r, need, profit)) == 0
         return F.when(fine, F.struct(profit.alias("profit"), F.lit(rank).alias("rank"), F.lit(s.upper()).alias("side"), price.alias("buy_price"), fair.alias("fair")))
 
-    best = F.array_max(F.array_compact(F.array(offer("up", 1), offer("down", 0))))
-    out = out.select("asset", "us", "seq", best.alias("b")).filter("b IS NOT NULL").select("asset", "us", "seq", "b.side", "b.buy_price", "b.fair", "b.profit")
+    out = out.withColumns({"_up": offer("up", 1), "_down": offer("down", 0)})
+    # At most one element is exploded: rows without an offer go, and later steps read plain columns.
+    ranked = F.slice(F.sort_array(F.array_compact(F.array("_up", "_down")), asc=False), 1, 1)
+    out = out.select("asset", "us", "seq", F.explode(ranked).alias("b")).select("asset", "us", "seq", "b.side", "b.buy_price", "b.fair", "b.profit")
     return out.withColumn("limit_price", improved_price(F.col("buy_price"), F.col("fair"), r))
 
 

@@ -22,6 +22,8 @@ def test_hour_models_scoring_and_importance(spark, data):
     assert sorted(runs) == [0, 1]  # hour 2 has no validation rows
     run = runs[0]
     assert run.features == ["temp_f", "noise"] and run.validation["rmse"] < 3 and run.validation["r2"] > 0.9
+    united = TR.score_by_hour(data, runs)
+    assert united.count() == data.filter("local_hour < 2").count() and united.select("seq").distinct().count() == united.count()
     top = TR.importances(spark, run).first()
     assert top.feature == "temp_f"
     rows = data.filter("local_hour = 0").withColumn("seen", F.lit(91.94))
