@@ -226,11 +226,12 @@ def mkt19(v):
 
 @query(
     "agg22_held_entry_price", "trades",
-    f"SELECT market_id, sum(shares) AS shares, {r('sum(shares * CASE WHEN yes_price > 0 THEN yes_price ELSE total_cost_usdc / shares END) / sum(shares)')} AS avg_price FROM trades"
+    f"SELECT market_id, sum(shares) AS shares, {r('sum(shares * CASE WHEN yes_price > 0 THEN yes_price ELSE total_cost_usdc / shares END) / sum(shares)', 10)} AS avg_price FROM trades"
     " WHERE status IN ('OPEN', 'BUY_PENDING', 'SELL_PENDING', 'HEDGED') AND coalesce(position_side, 'YES') = 'YES' AND shares > 0 GROUP BY 1",
 )
 def agg22(v):
-    return L.held_entry_price(v.trades).withColumn("avg_price", tidy(F.col("avg_price")))
+    # Ten places: cents over a share count like 160 end in a 5 at the seventh place, where sums in another order would differ.
+    return L.held_entry_price(v.trades).withColumn("avg_price", tidy(F.col("avg_price"), 10))
 
 
 # Valuations and fills ----------------------------------------------------------------------------------------
