@@ -71,7 +71,7 @@ WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
 ), f AS (SELECT hex, payload_bytes, min(page_id) AS first FROM p GROUP BY ALL)
 SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes,
-  list_aggregate(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + CAST(((('0x' || substr(p.hex, 1 + 10 * (i // 8), 10))::BIGINT) >> (5 * (7 - i % 8))) & 31 AS INT), 1)), 'string_agg', '') AS payload_digest,
   CASE WHEN p.page_id = first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN p.page_id = first THEN NULL ELSE first END AS refers_to
@@ -111,7 +111,7 @@ g AS (
 ), r AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 5)) AS at FROM g WHERE n > 1) GROUP BY doc_id),
 m AS (
   SELECT t.doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-    length(regexp_replace(x, '[^A-Z]', '', 'g')) AS n_capitals, list_filter(string_split(x, chr(10)), y -> regexp_matches(y, '[^\\x20\\x09-\\x0D]')) AS lines,
+    length(regexp_replace(x, '[^A-Z]', '', 'g')) AS n_capitals, list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\\x20\\x09-\\x0D]')) AS lines,
     coalesce(r.n, 0) AS n_repeat_words
   FROM t LEFT JOIN r ON r.doc_id = t.doc_id
 ), f AS (
@@ -130,7 +130,7 @@ c AS (
     coalesce(sum(poor) OVER (PARTITION BY lang, rule ORDER BY share DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caught FROM c
 ), q AS (
   SELECT *, k < n * 0.0025 AND coalesce(list_sum(list_transform(range(0, CAST(CASE WHEN k < n * 0.0025 THEN k ELSE -1 END AS BIGINT) + 1),
-    i -> exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.0025) + (n - i) * ln(1 - 0.0025)))), 1) <= 0.05 / (SELECT count(*) FROM (SELECT DISTINCT lang, rule FROM c)) AS pass FROM k
+    lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.0025) + (n - i) * ln(1 - 0.0025)))), 1) <= 0.05 / (SELECT count(*) FROM (SELECT DISTINCT lang, rule FROM c)) AS pass FROM k
 ), z AS (
   SELECT lang, rule, arg_max(cutoff, {{'gain': caught - k, 'cutoff': cutoff}}) AS cutoff
   FROM (SELECT *, bool_and(pass) OVER (PARTITION BY lang, rule ORDER BY cutoff DESC) AS ok FROM q) WHERE ok AND caught > k GROUP BY lang, rule
