@@ -142,7 +142,9 @@ class Kept:
     def fill(self, wanted: set[str]) -> dict[str, tuple[int, ...]]:
         """After this, ``now`` has all that is wanted."""
         unknown = []
-        for word in wanted - self.now.keys():
+        for word in wanted:
+            if word in self.now:
+                continue
             value = self.old.get(word)
             if value is None:
                 unknown.append(word)

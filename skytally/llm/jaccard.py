@@ -44,21 +44,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Words:
+class Words(dict):
     """Hashes of words, of the words seen last; the bound is on memory only."""
 
-    def __init__(self):
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        self.hash, self.now = xxhash.xxh64_intdigest, {}
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
 
     def __call__(self, found: list[bytes]) -> np.ndarray:
-        if len(self.now) > 300_000:
-            self.now = {}
-        now, make = self.now, self.hash
-        for word in set(found) - now.keys():
-            now[word] = make(word)
-        return np.fromiter(map(now.__getitem__, found), np.uint64, len(found))
+        if len(self) > 300_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
 
 
 def shingles(text: str | None, n: int, hashes: Words) -> np.ndarray:
