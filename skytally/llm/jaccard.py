@@ -11,7 +11,8 @@ smaller sets that it may be similar to.
 
 Signatures of all sets meet in one shuffle by signature; each signature found in two nodes makes pairs with one centre
 only, these are verified on the sets themselves, and links are joined into components. Signatures that still span several
-components are tried again with other centres, then with every pair that is left; links inside a component need no proof.
+components are tried again with other centres; links inside a component need no proof. What is left open, sets that agree
+in some segment but are in different components, is paired by the rarest elements, which similar sets must share too.
 So copies and near copies, however many, never make all pairs, and no link between different components is missed.
 
 Defined results: null text, or text without words, has an empty set and is its own component (of its key, null included).
@@ -32,7 +33,7 @@ from skytally.llm.common import stage
 
 #: Up to this size bands index deletions; how much larger than the least number of segments larger bands are cut.
 SMALL, SLACK = 64, 1.12
-ROUNDS = 3
+ROUNDS, NAMED = 3, 2_000_000
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -238,18 +239,46 @@ def sign_sets(df: DataFrame, text: str, n: int, scheme: Scheme) -> DataFrame:
     return _map_sets(df.select(text), n, "sid long, sign long, kind byte", make)
 
 
-def sets_of(df: DataFrame, text: str, n: int) -> DataFrame:
-    """Rows (sid, tokens) of all texts that have words."""
+def sets_of(df: DataFrame, text: str, n: int, wanted: DataFrame) -> DataFrame:
+    """Rows (sid, tokens) of the sets in ``wanted`` (sid), once each.
+
+    Up to ``NAMED`` of them, 8 bytes each, are named to the tasks so that no other set leaves these; more are joined.
+    """
+    few = wanted.limit(NAMED + 1).count() <= NAMED
+    named = np.sort(np.array([r[0] for r in wanted.collect()], np.int64)) if few else None
+    shared = df.sparkSession.sparkContext.broadcast(named)
 
     def make(_, sets):
-        found = [(set_id(x), x.view(np.int64)) for x in sets if len(x)]
+        only = shared.value
+        found = [(sid, x.view(np.int64)) for sid, x in ((set_id(x), x) for x in sets if len(x)) if only is None or _among(sid, only)]
         if found:
             offsets = np.cumsum([0, *(len(x) for _, x in found)])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x for x, _ in found], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([x for _, x in found])))], ["sid", "tokens"]
             )
 
-    return _map_sets(df.select(text), n, "sid long, tokens array<long>", make)
+    made = _map_sets(df.select(text), n, "sid long, tokens array<long>", make)
+    return (made if few else made.join(wanted, "sid", "left_semi")).groupBy("sid").agg(F.first("tokens").alias("tokens"))
+
+
+def _among(sid: int, only: np.ndarray) -> bool:
+    at = int(np.searchsorted(only, sid))
+    return at < len(only) and int(only[at]) == sid
+
+
+def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (sid, comp) in different components that can reach the similarity.
+
+    In one order of all elements, here from the rarest among these sets, similar sets share one of their first
+    n - ceil(n * percent / 100) + 1 elements; what many sets have in common comes last and makes no pairs.
+    """
+    token = nodes.join(sets, "sid").select("sid", "comp", F.size("tokens").alias("n"), F.explode_outer("tokens").alias("token"))
+    placed = token.join(token.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token")
+    order = F.row_number().over(W.partitionBy("sid").orderBy("df", "token"))
+    first = placed.withColumn("__at", order).where(F.col("__at") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1)
+    first = stage(first.select("sid", "comp", "token"), "prefix")
+    other = first.select("token", F.col("sid").alias("b"), F.col("comp").alias("__comp"))
+    return first.join(other, "token").where("comp < __comp").select(F.col("sid").alias("a"), "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -286,7 +315,7 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     live = stage(met.select("sid", "sign", "kind").distinct(), "live")
     normal, empty = live.where(F.col("kind") == NORMAL), live.where(F.col("kind") != NORMAL)
     wanted = live.select("sid").distinct()
-    sets = stage(sets_of(df, text, n).join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens")), "sets")
+    sets = stage(sets_of(df, text, n, wanted), "sets")
     size = sets.select("sid", F.size("tokens").alias("n"))
 
     def fitting(pairs: DataFrame) -> DataFrame:
@@ -302,13 +331,12 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     open_signs = normal.withColumn("comp", F.col("sid"))
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
-            # One centre for each signature and turn; which one depends on one bit of the signature, so that centres differ.
-            order = F.xxhash64(F.lit(turn), "sid", F.pmod("sign", F.lit(4)))
+            # One centre for each signature. First the same for as many as possible, then by chance.
+            order = F.xxhash64(F.lit(turn), "sid", F.pmod("sign", F.lit(1 if turn == 0 else 4)))
             centre = open_signs.groupBy("sign").agg(F.min_by("sid", order).alias("b"), F.min_by("comp", order).alias("__comp"))
             found = open_signs.join(centre, "sign").where("comp != __comp").select(F.col("sid").alias("a"), "b")
         else:
-            other = open_signs.select("sign", F.col("sid").alias("b"), F.col("comp").alias("__comp"))
-            found = open_signs.join(other, "sign").where("comp < __comp").select(F.col("sid").alias("a"), "b")
+            found = rare_pairs(open_signs.select("sid", "comp").distinct(), sets, percent)
         new = stage(fitting(found).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionAll(new)
         links = stage(links.unionAll(verified(new, sets, percent)), "links")
