@@ -23,8 +23,9 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def _key() -> Column:
-    """The doc_id; for rows without one a negative number made of the text."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseOR(F.lit(-(1 << 63)))).alias("__key")
+    """The doc_id; for rows without one a number made of the text, from 2 ** 62 on, so that documents with one come first."""
+    made = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    return F.coalesce(F.col("doc_id").cast("long"), made).alias("__key")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
