@@ -24,23 +24,41 @@ def _best(node: Column, side: str, pick) -> Column:
     return pick(prices)
 
 
+def _opened(node: Column) -> Column:
+    """JSON text as what it holds; anything else as it is."""
+    return F.coalesce(F.when(F.schema_of_variant(node) == "STRING", F.try_parse_json(F.try_variant_get(node, "$", "string"))), node)
+
+
 def _children(nodes: Column) -> Column:
-    """Members of lists and values of objects; scalars have none."""
+    """Members of lists, text among them opened, and values of objects; scalars have none."""
     return F.flatten(F.transform(nodes, lambda n: F.coalesce(
-        F.try_variant_get(n, "$", "array<variant>"),
+        F.transform(F.try_variant_get(n, "$", "array<variant>"), _opened),
         F.map_values(F.try_variant_get(n, "$", "map<string,variant>")),
         F.array().cast("array<variant>"))))
 
 
-def price_rows(df: DataFrame, message: str = "message", depth: int = 5) -> DataFrame:
+def nesting(text: Column) -> Column:
+    """How deep brackets and braces nest at most; those inside JSON text count too, so it is never too small."""
+    marks = F.split(F.regexp_replace(text, r"[^\[\]{}]+", ""), "")
+    step = lambda x: F.when(x.isin("[", "{"), 1).when(x.isin("]", "}"), -1).otherwise(0)
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(marks, start, lambda acc, x: F.struct(
+        (acc["now"] + step(x)).alias("now"), F.greatest(acc["most"], acc["now"] + step(x)).alias("most")), lambda acc: acc["most"])
+
+
+def price_rows(df: DataFrame, message: str = "message", depth: int | None = None) -> DataFrame:
     """One row (asset, price, field) per price in a message of any of the feed's shapes.
 
-    The walk goes through lists and objects ``depth`` levels down (the feed nests three) inside one row, then
-    explodes once. Text that is not JSON gives no rows; JSON text inside JSON text is opened at the top.
+    The walk goes through lists and objects inside one row, as deep as the deepest message, then explodes once. For a
+    stream, whose deepest message is not known, ``depth`` says how deep. Text that is not JSON gives no rows; JSON text
+    at the top or in a list is opened.
     """
     keep = [c for c in df.columns if c != message]
-    v = F.try_parse_json(F.col(message))
-    root = F.coalesce(F.when(F.schema_of_variant(v) == "STRING", F.try_parse_json(F.try_variant_get(v, "$", "string"))), v)
+    if depth is None:
+        if df.isStreaming:
+            raise ValueError("a stream needs a depth")
+        depth = df.agg(F.max(nesting(F.col(message)))).first()[0] or 0
+    root = _opened(F.try_parse_json(F.col(message)))
     out = df.select(*keep, F.array_compact(F.array(root)).alias("_n0"))
     for i in range(depth):
         out = out.withColumn(f"_n{i + 1}", _children(F.col(f"_n{i}")))

@@ -21,12 +21,6 @@ BLOCK = "_blk"
 CORE = "_core"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share out a scan of fewer splits than cores (one small file); a large scan is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def with_block(df: DataFrame, epoch: str | Column, seconds: int) -> DataFrame:
     col = F.col(epoch) if isinstance(epoch, str) else epoch
     return df.withColumn(BLOCK, F.floor(col / F.lit(seconds)).cast("long"))

@@ -64,7 +64,9 @@ def recent_mean(ticks: DataFrame, points: int, keys: Sequence[str] = ("asset", "
 
     Rows get their position in the series; frames run over runs of positions with an overlap of ``points``.
     """
-    points = max(1, min(points, history))
+    if points > history:
+        raise ValueError(f"points is {points}, more than the history of {history}")
+    points = max(1, points)
     kept = changed_only(ticks, keys, block)
     placed = running(_blocked(kept, block), list(keys), [BLOCK], ["us", "seq"], {"_pos": ("count", F.lit(1))}).drop(BLOCK)
     spread = lookback(placed, "_pos", points - 1, run)

@@ -14,7 +14,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from skytally.operators.scale import spread
 from skytally.session import prepare
 
 _INT = "CAST(floor({0}) AS BIGINT)"
@@ -374,7 +373,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     naive = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
     df = df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
-    return spread(df)
+    return df
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

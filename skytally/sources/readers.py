@@ -235,10 +235,14 @@ def parse_station_text(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def parse_events(df: DataFrame, payload: str = "payload", page: str = "page") -> DataFrame:
-    """Event pages to (event, market) rows; for one event id the later page wins."""
+    """Event pages to (event, market) rows; for one event id the later page wins.
+
+    Events with neither id nor slug are each kept, told apart by their place.
+    """
     events = df.select(F.col(page).alias("_page"), F.posexplode(F.from_json(F.col(payload), schemas.EVENT_PAGE)).alias("_pos", "e"))
     events = events.withColumn("event_id", F.coalesce(F.col("e.id"), F.col("e.slug"), F.lit("")))
-    latest = events.groupBy("event_id").agg(F.max_by("e", F.struct("_page", "_pos")).alias("e"))
+    place = F.when(F.col("event_id") == "", F.struct("_page", "_pos"))
+    latest = events.groupBy("event_id", place.alias("_place")).agg(F.max_by("e", F.struct("_page", "_pos")).alias("e"))
     rows = latest.select("event_id", "e.title", "e.slug", F.explode("e.markets").alias("m"))
     from skytally.functions.market import jsonish_list
 

@@ -43,10 +43,10 @@ def fold_extremes(points: DataFrame) -> DataFrame:
         F.max("whole_temp").alias("high"), F.min("whole_temp").alias("low"), F.max("epoch").alias("latest_epoch"), F.count("*").alias("points"))
 
 
-def message_prices(capture: DataFrame) -> DataFrame:
+def message_prices(capture: DataFrame, depth: int = 32) -> DataFrame:
     """Landed capture envelopes to price rows."""
     raw = capture.filter("event_type = 'websocket_raw'").select("received_ms", F.col("raw").alias("message"))
-    return MS.price_rows(raw)
+    return MS.price_rows(raw, depth=depth)
 
 
 def gated(ticks: DataFrame, windows: DataFrame, before: int = 120, length: int = 300) -> DataFrame:

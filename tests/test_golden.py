@@ -239,3 +239,27 @@ def test_year_blocks():
 def test_score_floor(spark):
     r = one(spark, F.greatest(F.lit(91.8138), F.lit(91.94)))[0]
     assert r == 91.94
+
+
+def test_deep_and_quoted_messages_lose_no_price(spark):
+    import json
+
+    from skytally.functions.messages import price_rows
+
+    row = {"event_type": "last_trade_price", "asset_id": "a", "price": "0.5"}
+    def deep(n):
+        out = row
+        for _ in range(n):
+            out = {"data": out}
+        return json.dumps(out)
+    messages = [(n, deep(n)) for n in (0, 3, 6, 9, 14)] + [(20, json.dumps([json.dumps(row)])), (21, "no json"), (22, None)]
+    out = price_rows(spark.createDataFrame(messages, "seq int, message string"))
+    assert sorted((r["seq"], r["price"]) for r in out.collect()) == [(n, 0.5) for n in (0, 3, 6, 9, 14, 20)]
+
+
+def test_events_without_a_name_stay_apart(spark):
+    from skytally.sources.readers import parse_events
+
+    payload = '[{"title":"x","markets":[{"id":"1"}]},{"title":"y","markets":[{"id":"2"}]}]'
+    out = parse_events(spark.createDataFrame([(payload, 0), (payload, 1)], "payload string, page int"))
+    assert sorted((r["title"], r["market_id"]) for r in out.collect()) == [("x", "1"), ("x", "1"), ("y", "2"), ("y", "2")]
