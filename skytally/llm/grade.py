@@ -62,17 +62,19 @@ class Model(NamedTuple):
 def fit(found: list[np.ndarray], grades: np.ndarray, levels: int, rounds: int = 200, rate: float = 0.05, penalty: float = 0.1, least: int = 5, screen: float = 6.0) -> Model:
     """Adam on the mean negative log likelihood with a squared penalty. Features of fewer than
     ``least`` rows, and those that no grade prefers by ``screen`` standard errors, weigh 0."""
-    flat = np.concatenate(found)
-    used, column, rows = np.unique(flat, return_inverse=True, return_counts=True)
-    of = np.repeat(np.arange(len(found)), [*map(len, found)])
+    column = np.concatenate(found)
+    of = np.repeat(np.arange(len(found), dtype=np.int32), [*map(len, found)])
+    rows = np.bincount(column, minlength=1 << BITS)
     # Screening: how far the share of lower grades among a feature's rows is from that of all rows, in standard errors.
-    marks = np.zeros(len(used))
+    marks = np.zeros(1 << BITS)
     for k in range(1, levels):
         p = min(max(float((grades < k).mean()), 1e-6), 1 - 1e-6)
-        marks = np.maximum(marks, np.abs(np.bincount(column, grades[of] < k, len(used)) - rows * p) / np.sqrt(rows * p * (1 - p)))
+        off = np.abs(np.bincount(column[(grades < k)[of]], minlength=1 << BITS) - rows * p)
+        marks = np.maximum(marks, off / np.sqrt(np.maximum(rows, 1) * p * (1 - p)))
     chosen = (rows >= least) & (marks >= screen)
-    of, column = of[chosen[column]], column[chosen[column]]
-    w = np.zeros(len(used))
+    kept = chosen[column]
+    of, column = of[kept], (np.cumsum(chosen) - 1)[column[kept]]
+    w = np.zeros(int(chosen.sum()))
     share = np.array([(grades < k).mean() for k in range(1, levels)]).clip(0.01, 0.99)
     cuts = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-3 * np.arange(levels - 1))
     raw = np.concatenate([[cuts[0]], np.log(np.maximum(np.diff(cuts), 1e-3))])
@@ -95,7 +97,7 @@ def fit(found: list[np.ndarray], grades: np.ndarray, levels: int, rounds: int =
         w -= move[: len(w)]
         raw -= move[len(w) :]
     weights = np.zeros(1 << BITS)
-    weights[used] = np.where(chosen, w, 0)
+    weights[chosen] = w
     return Model(weights, np.cumsum(np.concatenate([[raw[0]], np.exp(raw[1:])])))
 
 
@@ -123,7 +125,7 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, levels: int = 3, k
     if got.empty:
         return None
     # Rows come in any order; sums of floating numbers should not depend on it.
-    got = got.assign(__at=[tuple(x) for x in got["found"]]).sort_values(["grade", "__at"])
+    got = got.assign(__at=[x.tobytes() for x in got["found"]]).sort_values(["grade", "__at"])
     return fit([*got["found"]], got["grade"].to_numpy(), levels)
 
 
