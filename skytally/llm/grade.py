@@ -121,12 +121,15 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, levels: int = 3, k
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(x) for x in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["grade", "found"])
 
-    got = rows.select("__grade", "__text").mapInArrow(run, "grade int, found array<int>").where(F.size("found") > 0).toPandas()
-    if got.empty:
+    got = rows.select("__grade", "__text").mapInArrow(run, "grade int, found array<int>").where(F.size("found") > 0).toArrow()
+    if not got.num_rows:
         return None
+    grades, lists = got["grade"].combine_chunks().to_numpy(), got["found"].combine_chunks()
+    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    found = [flat[a:b] for a, b in zip(ends, ends[1:])]
     # Rows come in any order; sums of floating numbers should not depend on it.
-    got = got.assign(__at=[x.tobytes() for x in got["found"]]).sort_values(["grade", "__at"])
-    return fit([*got["found"]], got["grade"].to_numpy(), levels)
+    order = sorted(range(len(found)), key=lambda k: (grades[k], found[k].tobytes()))
+    return fit([found[k] for k in order], grades[order], levels)
 
 
 def grade_documents(df: DataFrame, model: Model | None, levels: int = 3, wanted: int = 2, least: float = 0.5, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
