@@ -9,6 +9,10 @@ allocated where they cost least: an equal subset of many elements is rarer than
 world, and a deletion costs an entry for each element. A set is indexed in its own band and probes the bands of all
 smaller sets that it may be similar to.
 
+Larger bands have more segments than the pigeonhole asks for. There similar sets must agree in several segments, m less
+the greatest difference less the empty ones, and a set that meets others in fewer is out: a passage that many documents
+quote fills whole segments of them, but few.
+
 Signatures of all sets meet in one shuffle by signature; each signature found in two nodes makes pairs with one centre
 only, these are verified on the sets themselves, and links are joined into components. Signatures that still span several
 components are tried again with other centres; links inside a component need no proof. What is left open, sets that agree
@@ -25,15 +29,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skytally.llm.common import stage
 
 #: Up to this size bands index deletions; how much larger than the least number of segments larger bands are cut.
-SMALL, SLACK = 64, 1.12
-ROUNDS, NAMED = 3, 2_000_000
+SMALL, SLACK = 64, 1.25
+ROUNDS = 2
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -69,8 +73,9 @@ def shingles(text: str | None, n: int, hashes: Words) -> np.ndarray:
     width = min(n, len(h))
     out = np.full(len(h) - width + 1, width, np.uint64)
     for k in range(width):
-        out = mix(out ^ h[k : k + len(out)])
-    return np.unique(out)
+        out = out * K2 + h[k : k + len(out)]
+    out = np.sort(mix(out))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 class Scheme:
@@ -120,18 +125,15 @@ def subsets(tokens: np.ndarray, lo: int, m: int) -> tuple[np.ndarray, np.ndarray
     return size, total, at, h
 
 
-def allocate(size: np.ndarray, need: int, deletions: bool) -> np.ndarray:
-    """Thresholds of the segments that sum to ``need`` at the least cost.
+def allocate(size: np.ndarray, need: int) -> np.ndarray:
+    """Thresholds of the segments of a small band that sum to ``need`` at the least cost.
 
-    The first step of a segment costs one entry and matches the more sets the fewer elements it has; the second, where
-    deletions are indexed, costs an entry for each element. Empty segments come last.
+    The first step of a segment costs one entry and matches the more sets the fewer elements it has; the second costs an
+    entry for each element. Empty segments come last.
     """
     first = 1.0 + 8.0 * 0.25 ** np.minimum(size, 30)
     first[size == 0] = 1e6
     out = np.zeros(len(size), np.int64)
-    if not deletions:
-        out[np.argsort(first, kind="stable")[:need]] = 1
-        return out
     second = size + 8.0 * 0.25 ** np.maximum(np.minimum(size, 30) - 1, 0)
     second[size == 0] = 1e9
     second = np.maximum(second, first)
@@ -145,40 +147,38 @@ def allocate(size: np.ndarray, need: int, deletions: bool) -> np.ndarray:
 NORMAL, INDEX, PROBE = 0, 1, 2
 
 
-def signatures(tokens: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a set and their kinds: those of empty subsets only join an index entry with a probe."""
-    out, kinds, s = [], [], len(tokens)
-    for own, (lo, hi) in enumerate(scheme.bands(s)):
-        m, deletions = scheme.segments(hi), hi <= SMALL
+def signatures(tokens: np.ndarray, scheme: Scheme) -> list[tuple[np.ndarray, int, int, int]]:
+    """Signatures of a set in parts (signatures, kind, way, least).
+
+    Signatures of empty subsets only join an index entry with a probe. ``way`` counts the bands down from the set's own,
+    0; a set similar to this one shares at least ``least`` of the signatures of kind NORMAL of one way.
+    """
+    out: list[tuple[np.ndarray, int, int, int]] = []
+    s = len(tokens)
+    for way, (lo, hi) in enumerate(scheme.bands(s)):
+        m = scheme.segments(hi)
         size, total, at, h = subsets(tokens, lo, m)
-        t = allocate(size, scheme.differ(min(hi, s), s) + 1, deletions)
         seat = mix(np.arange(m, dtype=np.uint64) ^ (np.uint64(lo) << np.uint64(32)))
         key = mix(seat ^ total)
-        wide = deletions and (own == 0 or (t > 1).any())
-        if wide:
-            chosen = np.ones(len(at), bool) if own == 0 else t[at] > 1
-            less, left = mix(seat[at] ^ (total[at] - h))[chosen], size[at][chosen] - 1
-        if own == 0:
-            out.append(key)
-            kinds.append(np.where(size > 0, NORMAL, INDEX))
-            if wide:
-                out.append(less)
-                kinds.append(np.where(left > 0, NORMAL, INDEX))
-                if ((left == 0) & (t[at] > 1)).any():
-                    out.append(less[(left == 0) & (t[at] > 1)])
-                    kinds.append(np.full(len(out[-1]), PROBE))
-            empty = (size == 0) & (t > 0)
-        else:
-            out.append(key[(t > 0) & (size > 0)])
-            kinds.append(np.full(len(out[-1]), NORMAL))
-            if wide:
-                out.append(less)
-                kinds.append(np.where(left > 0, NORMAL, PROBE))
-            empty = (size == 0) & (t > 0)
-        if empty.any():
-            out.append(key[empty])
-            kinds.append(np.full(len(out[-1]), PROBE))
-    return np.concatenate(out), np.concatenate(kinds)
+        if hi <= SMALL:
+            t = allocate(size, scheme.differ(min(hi, s), s) + 1)
+            wanted = (t > 0) | (way == 0)
+            deleted = (t[at] > 1) | (way == 0)
+            less, left = mix(seat[at] ^ (total[at] - h)), size[at] - 1
+            out.append((np.concatenate([key[wanted & (size > 0)], less[deleted & (left > 0)]]), NORMAL, way, 1))
+            if way == 0:
+                out.append((np.concatenate([key[size == 0], less[left == 0]]), INDEX, way, 1))
+            out.append((np.concatenate([key[(size == 0) & (t > 0)], less[(left == 0) & (t[at] > 1)]]), PROBE, way, 1))
+            continue
+        # Its own band holds sets up to the largest that this one can be similar to; lower bands sets up to hi.
+        differ = scheme.differ(s, scheme.most(s)) if way == 0 else scheme.differ(min(hi, s), s)
+        least = m - differ - int((size == 0).sum())
+        out.append((key[size > 0], NORMAL, way, max(1, least)))
+        if way == 0:
+            out.append((key[size == 0], INDEX, way, 1))
+        if least < 1:
+            out.append((key[size == 0], PROBE, way, 1))
+    return [x for x in out if len(x[0])]
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -198,72 +198,87 @@ def _map_sets(df: DataFrame, n: int, schema: str, make) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def name_sets(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """Per row: key, sid (0 for the empty set), n_shingles."""
-
-    def make(columns, sets):
-        found = [(set_id(x), len(x)) for x in sets]
-        yield pa.RecordBatch.from_arrays([columns[0], pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["key", "sid", "n_shingles"])
+def _row(key: str, text: str) -> Column:
+    """A number for a row, which spreads copies of a text by their keys."""
+    return F.xxhash64(F.col(key).cast("string"), text)
 
-    kind = df.schema[key].dataType.simpleString()
-    return _map_sets(df.select(F.col(key).alias("key"), F.col(text)), n, f"key {kind}, sid long, n_shingles long", make)
 
+def describe(df: DataFrame, key: str, text: str, n: int, scheme: Scheme) -> DataFrame:
+    """Per row: key, row (its number), sid (0 for the empty set), n_shingles, parts (tag, signs) of its signatures.
 
-def sign_sets(df: DataFrame, text: str, n: int, scheme: Scheme) -> DataFrame:
-    """Rows (sid, sign, kind). Equal sets of one task are signed once."""
+    Equal sets of one task are signed once; ``tag`` packs the kind, way and least of ``signatures``.
+    """
     seen: set[int] = set()
 
-    def make(_, sets):
-        rows: list[tuple[int, np.ndarray, np.ndarray]] = []
-        size = 0
+    def make(columns, sets):
+        at, rows, size = 0, [], 0
 
         def full():
-            count = [len(x[1]) for x in rows]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat([x[0] for x in rows], count), pa.int64()), pa.array(np.concatenate([x[1] for x in rows]).view(np.int64)), pa.array(np.concatenate([x[2] for x in rows]), pa.int8())],
-                ["sid", "sign", "kind"],
-            )
+            parts = [part for row in rows for part in row[2]]
+            ends = pa.array(np.cumsum([0, *(len(row[2]) for row in rows)]), pa.int32())
+            signs = np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in parts)]).view(np.int64)
+            tags = pa.array([kind + 3 * (way + 16 * least) for _, kind, way, least in parts], pa.int32())
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x[0]) for x in parts)]), pa.int32()), pa.array(signs))
+            told = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([tags, lists], ["tag", "signs"]))
+            made = [*(c.slice(at, len(rows)) for c in columns), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), told]
+            return pa.RecordBatch.from_arrays(made, ["key", "row", "sid", "n_shingles", "parts"])
 
         for x in sets:
             sid = set_id(x)
-            if len(x) and sid not in seen:
-                seen.add(sid)
-                rows.append((sid, *signatures(x, scheme)))
-                size += len(rows[-1][1])
-                if size > 500_000:
-                    yield full()
-                    rows, size = [], 0
+            new = len(x) > 0 and sid not in seen
+            seen.add(sid)
+            rows.append((sid, len(x), signatures(x, scheme) if new else []))
+            size += sum(len(part[0]) for part in rows[-1][2])
+            if size > 500_000:
+                yield full()
+                at, rows, size = at + len(rows), [], 0
         if rows:
             yield full()
 
-    return _map_sets(df.select(text), n, "sid long, sign long, kind byte", make)
-
+    kind = df.schema[key].dataType.simpleString()
+    schema = f"key {kind}, row long, sid long, n_shingles long, parts array<struct<tag: int, signs: array<long>>>"
+    return _map_sets(df.select(F.col(key).alias("key"), _row(key, text), F.col(text)), n, schema, make)
 
-def sets_of(df: DataFrame, text: str, n: int, wanted: DataFrame) -> DataFrame:
-    """Rows (sid, tokens) of the sets in ``wanted`` (sid), once each.
 
-    Up to ``NAMED`` of them, 8 bytes each, are named to the tasks so that no other set leaves these; more are joined.
-    """
-    few = wanted.limit(NAMED + 1).count() <= NAMED
-    named = np.sort(np.array([r[0] for r in wanted.collect()], np.int64)) if few else None
-    shared = df.sparkSession.sparkContext.broadcast(named)
+def sets_of(df: DataFrame, key: str, text: str, n: int, names: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (sid, tokens) of the sets in ``wanted`` (sid), once each, from one row of ``df`` for each of them."""
 
     def make(_, sets):
-        only = shared.value
-        found = [(sid, x.view(np.int64)) for sid, x in ((set_id(x), x) for x in sets if len(x)) if only is None or _among(sid, only)]
+        found = [(set_id(x), x.view(np.int64)) for x in sets if len(x)]
         if found:
             offsets = np.cumsum([0, *(len(x) for _, x in found)])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x for x, _ in found], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([x for _, x in found])))], ["sid", "tokens"]
             )
 
-    made = _map_sets(df.select(text), n, "sid long, tokens array<long>", make)
-    return (made if few else made.join(wanted, "sid", "left_semi")).groupBy("sid").agg(F.first("tokens").alias("tokens"))
+    rows = stage(names.where("sid != 0").groupBy("sid").agg(F.min("row").alias("__row")).join(wanted, "sid", "left_semi").select("__row"), "rows")
+    chosen = df.select(_row(key, text).alias("__row"), F.col(text).alias("__text")).join(rows, "__row", "left_semi").select("__text")
+    return _map_sets(chosen, n, "sid long, tokens array<long>", make).groupBy("sid").agg(F.first("tokens").alias("tokens"))
+
+
+#: Of a tag.
+KIND, WAY, LEAST = "tag % 3", "tag div 3 % 16", "tag div 48"
+
 
+def agreeing(signed: DataFrame) -> DataFrame:
+    """Rows of ``signed`` (sid, sign, tag) that may join similar sets: signatures of two sets or more, one of them in its
+    own band (of empty subsets, with a probe too), of sets that have enough of them in one band. What is out can take
+    others with it, so the test is made twice.
 
-def _among(sid: int, only: np.ndarray) -> bool:
-    at = int(np.searchsorted(only, sid))
-    return at < len(only) and int(only[at]) == sid
+    The window's frame is the whole group, which Spark spills; rows are 20 bytes.
+    """
+    group = W.partitionBy("sign")
+
+    def met(rows: DataFrame) -> DataFrame:
+        seen = rows.select("*", F.min("sid").over(group).alias("__lo"), F.max("sid").over(group).alias("__hi"), F.min(F.expr(WAY)).over(group).alias("__way"), F.max(F.expr(KIND)).over(group).alias("__kind"))
+        return seen.where(f"__lo != __hi and __way = 0 and __kind != {INDEX}").select("sid", "sign", "tag")
+
+    def enough(rows: DataFrame) -> DataFrame:
+        few = rows.where(f"{KIND} = {NORMAL}").groupBy("sid", "tag").agg(F.count(F.lit(1)).alias("__n")).where(f"__n < {LEAST}")
+        return rows.join(few.select("sid", "tag"), ["sid", "tag"], "left_anti")
+
+    live = stage(met(signed).distinct(), "live")
+    return stage(enough(stage(met(enough(live)), "live")), "live")
 
 
 def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -307,15 +322,13 @@ def components(links: DataFrame) -> DataFrame:
 def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """Per row: key, n_shingles, component_id (smallest key reachable by links), n_links (verified links of its set)."""
     scheme = Scheme(percent)
-    names = stage(name_sets(df, key, text, n), "names")
-    signed = sign_sets(df, text, n, scheme)
-    # Signatures in more than one set. The window's frame is the whole group, which Spark spills; rows are 17 bytes.
-    group = W.partitionBy("sign")
-    met = signed.withColumn("__lo", F.min("sid").over(group)).withColumn("__hi", F.max("sid").over(group)).where("__lo != __hi")
-    live = stage(met.select("sid", "sign", "kind").distinct(), "live")
+    told = stage(describe(df, key, text, n, scheme), "told")
+    names = told.drop("parts")
+    signed = told.select("sid", F.explode("parts").alias("__part")).select("sid", F.explode("__part.signs").alias("sign"), F.col("__part.tag").alias("tag"))
+    live = agreeing(signed).select("sid", "sign", F.expr(KIND).alias("kind")).distinct()
     normal, empty = live.where(F.col("kind") == NORMAL), live.where(F.col("kind") != NORMAL)
     wanted = live.select("sid").distinct()
-    sets = stage(sets_of(df, text, n, wanted), "sets")
+    sets = stage(sets_of(df, key, text, n, names, wanted), "sets")
     size = sets.select("sid", F.size("tokens").alias("n"))
 
     def fitting(pairs: DataFrame) -> DataFrame:

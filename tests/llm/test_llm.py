@@ -212,7 +212,7 @@ def test_jaccard(docs, empty):
 def test_similar_sets_share_a_signature():
     rng, scheme, tried = np.random.default_rng(5), jaccard.Scheme(80), 0
     for turn in range(1500):
-        size = int(rng.integers(1, 14 if turn % 3 else 150))
+        size = int(rng.integers(1, 14 if turn % 3 else 600))
         a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
         cut = int(rng.integers(0, size // 4 + 2))
         b = np.unique(np.concatenate([a[cut // 2 :], rng.integers(0, 2**63, cut - cut // 2, dtype=np.uint64)]))
@@ -220,7 +220,12 @@ def test_similar_sets_share_a_signature():
         if not both or 100 * both < 80 * (len(a) + len(b) - both):
             continue
         tried += 1
-        (x, kx), (y, ky) = jaccard.signatures(a, scheme), jaccard.signatures(b, scheme)
+        parts = [jaccard.signatures(v, scheme) for v in (a, b)]
+        for mine, other in (parts, parts[::-1]):
+            if any(kind == jaccard.NORMAL and least > 1 for _, kind, _, least in mine):
+                signs = np.concatenate([p[0] for p in other if p[1] == jaccard.NORMAL])
+                assert any(len(np.intersect1d(p[0], signs)) >= p[3] for p in mine if p[1] == jaccard.NORMAL)
+        (x, kx), (y, ky) = ((np.concatenate([p[0] for p in v]), np.concatenate([np.full(len(p[0]), p[1]) for p in v])) for v in parts)
         met = {(p, q) for s in np.intersect1d(x, y) for p in kx[x == s] for q in ky[y == s]}
         assert met & {(0, 0), (1, 2), (2, 1)}
     assert tried > 500
