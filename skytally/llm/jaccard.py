@@ -305,10 +305,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= union * percent).select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """Rows (sid, comp) for every end of a link; comp is the smallest sid reached."""
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Rows (sid, comp) for every end of a link; comp is the smallest sid reached. ``known``: those of a part of the links."""
     ends = stage(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(links.select("b", "a")), "links")
-    label = stage(ends.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("sid"), F.least("x", "y").alias("comp")), "label")
+    first = ends.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("sid"), F.least("x", "y").alias("comp"))
+    if known is not None:
+        first = first.unionAll(known).groupBy("sid").agg(F.min("comp").alias("comp"))
+    label = stage(first, "label")
     while True:
         near = ends.join(label.select(F.col("sid").alias("y"), "comp"), "y").groupBy("x").agg(F.min("comp").alias("near"))
         hop = label.join(near, label["sid"] == near["x"]).select("sid", "comp", F.least("comp", "near").alias("__to"))
@@ -340,7 +343,7 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     probes = empty.where(F.col("kind") == PROBE).select("sign", F.col("sid").alias("a"))
     index = empty.where(F.col("kind") == INDEX).select("sign", F.col("sid").alias("b"))
     tried = stage(fitting(probes.join(index, "sign").select("a", "b")), "tried")
-    links = verified(tried, sets, percent)
+    links, comps = verified(tried, sets, percent), None
     open_signs = normal.withColumn("comp", F.col("sid"))
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
@@ -353,7 +356,7 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
         new = stage(fitting(found).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionAll(new)
         links = stage(links.unionAll(verified(new, sets, percent)), "links")
-        comps = components(links)
+        comps = components(links, comps)
         if turn == ROUNDS:
             break
         named = normal.join(comps, "sid", "left").select("sid", "sign", F.coalesce("comp", "sid").alias("comp"))
