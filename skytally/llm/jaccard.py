@@ -285,15 +285,18 @@ def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of ``nodes`` (sid, comp) in different components that can reach the similarity.
 
     In one order of all elements, here from the rarest among these sets, similar sets share one of their first
-    n - ceil(n * percent / 100) + 1 elements; what many sets have in common comes last and makes no pairs.
+    n - ceil(n * percent / 100) + 1 elements; what many sets have in common comes last and makes no pairs. Of a pair's
+    common elements the first has all others behind it in both sets, so only elements with enough behind them count.
     """
     token = nodes.join(sets, "sid").select("sid", "comp", F.size("tokens").alias("n"), F.explode_outer("tokens").alias("token"))
     placed = token.join(token.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token")
     order = F.row_number().over(W.partitionBy("sid").orderBy("df", "token"))
     first = placed.withColumn("__at", order).where(F.col("__at") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1)
-    first = stage(first.select("sid", "comp", "token"), "prefix")
-    other = first.select("token", F.col("sid").alias("b"), F.col("comp").alias("__comp"))
-    return first.join(other, "token").where("comp < __comp").select(F.col("sid").alias("a"), "b")
+    first = stage(first.select("sid", "comp", "token", "n", "__at"), "prefix")
+    other = first.select("token", F.col("sid").alias("b"), F.col("comp").alias("__comp"), F.col("n").alias("__m"), F.col("__at").alias("__bt"))
+    fits = F.least("n", "__m") * 100 >= F.greatest("n", "__m") * percent
+    behind = (1 + F.least(F.col("n") - F.col("__at"), F.col("__m") - F.col("__bt"))) * (100 + percent) >= (F.col("n") + F.col("__m")) * percent
+    return first.join(other, "token").where(F.expr("comp < __comp") & fits & behind).select(F.col("sid").alias("a"), "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
