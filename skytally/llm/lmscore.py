@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from skytally.llm.common import remainder, stage
 
-FLUSH, FREQUENT, BATCH, LONG = 200_000, 100_000, 20_000, 64
+FLUSH, FREQUENT, BATCH, LONG, BLOCK = 200_000, 100_000, 20_000, 64, 2048
 
 
 def words(text: str | None) -> list[bytes]:
@@ -129,21 +129,55 @@ class Lattice:
                 out[places] = [self._one(row) for row in rows]
         return out / math.log(10)
 
+    def _block(self, row: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes and logs of the pieces of 1, 2, ... bytes (columns) at some thousand positions of one word (rows)."""
+        stop = min(len(row), start + BLOCK)
+        code, node = np.zeros(stop - start + self.longest, np.intp), np.ones(stop - start, np.int32)
+        code[: len(row) - start] = row[start : start + len(code)]
+        nodes = np.empty((stop - start, self.longest), np.int32)
+        for d in range(self.longest):
+            node = self.step[node, code[d : d + stop - start]]
+            # A piece does not reach beyond the word.
+            node[max(0, len(row) - start - d) :] = 0
+            nodes[:, d] = node
+        return nodes, self.log[nodes]
+
+    def _along(self, logs: np.ndarray, recent: np.ndarray) -> np.ndarray:
+        """Forward values of a block and of the ``longest`` positions behind it; ``recent`` are those known at its start."""
+        alpha = np.full(len(logs) + self.longest + 1, -np.inf)
+        alpha[: len(recent)] = recent
+        for k, log in enumerate(logs):
+            part = alpha[k + 1 : k + 1 + self.longest]
+            np.logaddexp(part, alpha[k] + log, out=part)
+        return alpha
+
+    def _heads(self, row: np.ndarray) -> tuple[list[np.ndarray], float]:
+        """Forward values known at the start of each block of one long word, and that of its end."""
+        heads = [np.zeros(1)]
+        for start in range(0, len(row), BLOCK):
+            logs = self._block(row, start)[1]
+            heads.append(self._along(logs, heads[-1])[len(logs) :].copy())
+        return heads[:-1], float(heads[-1][0])
+
     def _one(self, row: np.ndarray) -> float:
-        """The same for one long word, with only the last values kept."""
-        recent = [0.0]
-        for j in range(1, len(row) + 1):
-            total = -math.inf
-            for i in range(max(0, j - self.longest), j):
-                node = 1
-                for b in row[i:j]:
-                    node = int(self.step[node, b])
-                    if not node:
-                        break
-                if node and self.log[node] > -math.inf:
-                    total = float(np.logaddexp(total, recent[i - j] + self.log[node]))
-            recent = (recent + [total])[-self.longest :]
-        return recent[-1]
+        """The same for one long word, block by block."""
+        return self._heads(row)[1]
+
+    def expect_one(self, row: np.ndarray, n: float, out: np.ndarray) -> None:
+        """Adds to ``out`` what ``expect`` gives for one long word: its blocks backwards, forward values made again in each."""
+        heads, total = self._heads(row)
+        behind = np.full(self.longest, -np.inf)
+        behind[0] = 0
+        for at in range(len(heads) - 1, -1, -1):
+            nodes, logs = self._block(row, at * BLOCK)
+            alpha = self._along(logs, heads[at])[: len(logs)]
+            beta = np.concatenate([np.empty(len(logs)), behind])
+            for k in range(len(logs) - 1, -1, -1):
+                beta[k] = np.logaddexp.reduce(logs[k] + beta[k + 1 : k + 1 + self.longest])
+            ahead = np.lib.stride_tricks.sliding_window_view(beta[1:], self.longest)
+            part = np.exp(alpha[:, None] + logs + ahead - total) * n
+            out += np.bincount(nodes.ravel(), part.ravel(), len(out))
+            behind = beta[: self.longest].copy()
 
 
 def count_words(df: DataFrame, text: str = "text", training: str = "training") -> DataFrame:
@@ -186,9 +220,8 @@ def fit(counts: DataFrame, pieces: list[bytes], weights: np.ndarray, ends: int)
                 if rows.shape[1] <= LONG:
                     total += lattice.expect(rows, n[places])
                 else:
-                    # Long words have one sure reading here: byte by byte.
                     for row, times in zip(rows, n[places]):
-                        total += np.bincount(lattice.step[1, row], minlength=len(total)) * times
+                        lattice.expect_one(row, times, total)
         got = total[lattice.ends]
         used = np.flatnonzero(got)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(got[used])], ["piece", "n"])

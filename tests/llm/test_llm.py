@@ -265,6 +265,25 @@ def test_lattice_sums_all_segmentations():
     assert lattice.expect(rows, np.array([2.0])).sum() == pytest.approx(2 * (0.1 * 1 + 0.02 * 2 + 0.06 * 2 + 0.004 * 3) / p)
 
 
+def test_long_words_count_over_all_segmentations(spark, monkeypatch):
+    pieces, weights = [b" a", b" ", b"a", b"b", b"ab", b" ab", b"bab"], np.array([0.1, 0.2, 0.1, 0.15, 0.3, 0.1, 0.05])
+    lattice = lmscore.Lattice(pieces, weights)
+    found = {b"ab" * 50: 3, b"a" * 64: 1, b"b" * 63: 2, b"abbab" * 31: 2, b"ba" * 8: 5, b"a" * 2100: 1}
+    want = np.zeros(len(lattice.log))
+    for word, n in found.items():
+        rows = np.frombuffer(b" " + word, np.uint8).reshape(1, -1)
+        alone = lattice.expect(rows, np.array([float(n)]))
+        want += alone
+        for block in (1, 2, 7, 2048):
+            monkeypatch.setattr(lmscore, "BLOCK", block)
+            got = np.zeros(len(want))
+            lattice.expect_one(rows[0], n, got)
+            assert got == pytest.approx(alone) and lattice._one(rows[0]) == pytest.approx(lattice.forward(rows)[-1][0])
+    counts = spark.createDataFrame([(w.decode(), n) for w, n in found.items()], "word string, c long").repartition(2)
+    fitted, _ = lmscore.fit(counts, pieces, weights, 4)
+    assert fitted * (want.sum() + 6) == pytest.approx(want[lattice.ends] + weights)
+
+
 def test_scores(docs, empty):
     found, counts = pairs(docs), Counter()
     for k, t in found:
