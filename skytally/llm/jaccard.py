@@ -281,8 +281,9 @@ def agreeing(signed: DataFrame) -> DataFrame:
     return stage(enough(stage(met(enough(live)), "live")), "live")
 
 
-def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of ``nodes`` (sid, comp) in different components that can reach the similarity.
+def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int, within: bool = False) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (sid, comp) in different components that can reach the similarity; ``within``: in one
+    component, each pair once, in a plan that runs only if it is used.
 
     In one order of all elements, here from the rarest among these sets, similar sets share one of their first
     n - ceil(n * percent / 100) + 1 elements; what many sets have in common comes last and makes no pairs. Of a pair's
@@ -292,10 +293,14 @@ def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     placed = token.join(token.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token")
     order = F.row_number().over(W.partitionBy("sid").orderBy("df", "token"))
     first = placed.withColumn("__at", order).where(F.col("__at") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1)
-    first = stage(first.select("sid", "comp", "token", "n", "__at"), "prefix")
+    first = first.select("sid", "comp", "token", "n", "__at")
+    first = first if within else stage(first, "prefix")
     other = first.select("token", F.col("sid").alias("b"), F.col("comp").alias("__comp"), F.col("n").alias("__m"), F.col("__at").alias("__bt"))
     fits = F.least("n", "__m") * 100 >= F.greatest("n", "__m") * percent
     behind = (1 + F.least(F.col("n") - F.col("__at"), F.col("__m") - F.col("__bt"))) * (100 + percent) >= (F.col("n") + F.col("__m")) * percent
+    if within:
+        met = first.join(other, (first["token"] == other["token"]) & (F.col("comp") == F.col("__comp"))).where(F.expr("sid < b") & fits & behind)
+        return met.select(F.col("sid").alias("a"), "b").distinct()
     return first.join(other, "token").where(F.expr("comp < __comp") & fits & behind).select(F.col("sid").alias("a"), "b")
 
 
@@ -326,7 +331,11 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: key, n_shingles, component_id (smallest key reachable by links), n_links (verified links of its set)."""
+    """Per row: key, n_shingles, component_id (smallest key reachable by links), n_links (other rows at the similarity).
+
+    Components need a few links of each set. The number of all, which grows with the square of a group's size, is
+    counted only if n_links is used.
+    """
     scheme = Scheme(percent)
     told = stage(describe(df, key, text, n, scheme), "told")
     names = told.drop("parts")
@@ -367,12 +376,16 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
         open_signs = stage(named.join(spans.select("sign"), "sign", "left_semi"), "open")
         if not open_signs.limit(1).count():
             break
-    degree = links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("n_links"))
+    # Every link is inside a component.
+    copies = names.where("sid != 0").groupBy("sid").agg(F.count(F.lit(1)).alias("__copies"))
+    every = verified(rare_pairs(comps, sets, percent, within=True), sets, percent)
+    ends = every.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("sid")), F.struct(F.col("b").alias("x"), F.col("a").alias("sid"))))).select("col.*")
+    degree = ends.join(copies, "sid").groupBy(F.col("x").alias("sid")).agg(F.sum("__copies").alias("__others"))
     # From rows to sets to components, so that a hot set or component is summed before it is joined.
-    by_set = names.where("sid != 0").groupBy("sid").agg(F.min("key").alias("__key"))
-    by_set = by_set.join(comps, "sid", "left").select("sid", "__key", F.coalesce("comp", "sid").alias("comp"))
+    by_set = names.where("sid != 0").groupBy("sid").agg(F.min("key").alias("__key"), F.count(F.lit(1)).alias("__copies"))
+    by_set = by_set.join(comps, "sid", "left").select("sid", "__key", "__copies", F.coalesce("comp", "sid").alias("comp"))
     smallest = by_set.groupBy("comp").agg(F.min("__key").alias("component_id"))
-    named = by_set.join(smallest, "comp").join(degree, "sid", "left").select("sid", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    named = by_set.join(smallest, "comp").join(degree, "sid", "left").select("sid", "component_id", (F.col("__copies") - 1 + F.coalesce("__others", F.lit(0))).alias("n_links"))
     # Empty sets are many rows of one sid: they are not joined.
     full = names.where("sid != 0").join(named, "sid").select(F.col("key").alias(key), "n_shingles", "component_id", "n_links")
     none = names.where("sid = 0").select(F.col("key").alias(key), "n_shingles", F.col("key").alias("component_id"), F.lit(0).cast("long").alias("n_links"))

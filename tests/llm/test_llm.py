@@ -209,6 +209,24 @@ def test_jaccard(docs, empty):
     assert jaccard.similar(empty).count() == 0
 
 
+def test_jaccard_counts_every_link(spark, docs):
+    near = [(100 + k, " ".join(f"n{i}" for i in range(160) if i != 7 * k % 60) + f" end{k % 9}") for k in range(14)]
+    near += [(200 + k, f"s{k} " + " ".join(f"r{i}" for i in range(30 + k))) for k in range(8)]
+    found = pairs(docs) + near + near[:3]
+    sets = []
+    for _, t in found:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    links = [sum(j != i and bool(x) and 100 * len(x & y) >= 80 * len(x | y) for j, y in enumerate(sets)) for i, x in enumerate(sets)]
+    assert sorted(links)[-10] > 10
+    table = spark.createDataFrame([(k, t) for k, t in found], "doc_id long, text string").repartition(3)
+    out = jaccard.similar(table)
+    same(out, [(k, n) for (k, _), n in zip(found, links)], "doc_id", "n_links")
+    # Those who want components alone do not pay for the number.
+    plan = out.select("doc_id", "component_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" in out._jdf.queryExecution().optimizedPlan().toString() and "array_intersect" not in plan
+
+
 def test_similar_sets_share_a_signature():
     rng, scheme, tried = np.random.default_rng(5), jaccard.Scheme(80), 0
     for turn in range(1500):
