@@ -211,6 +211,23 @@ def joi25(v):
     return L.merge_assets(cur, up, m.filter("event_id % 3 = 1 AND event_id % 2 = 0"))
 
 
+# All markets on both sides and in the scope; marked keys are current assets without an update, new assets and events that are not refreshed.
+@query(
+    "joi25_asset_merge_whole", "markets",
+    ", cur AS (SELECT CASE WHEN market_id % 4 = 3 THEN concat('C', yes_asset) ELSE yes_asset END AS asset_id, city, kind, event_id, CASE WHEN market_id % 9 = 0 THEN 'held_position' ELSE 'temperature_market' END AS role, yes_price AS last_price FROM markets),"
+    " up AS (SELECT CASE WHEN event_id % 3 = 1 THEN yes_asset ELSE concat('U', yes_asset) END AS asset_id, city, kind, event_id, 'temperature_market' AS role, CASE WHEN market_id % 5 = 0 THEN 0.5e0 END AS last_price FROM markets),"
+    " sc AS (SELECT DISTINCT city, kind, CASE WHEN event_id % 6 = 4 THEN event_id ELSE -1 - event_id END AS event_id FROM markets), alive AS (SELECT cur.* FROM cur WHERE role <> 'temperature_market' OR (city, kind, event_id) NOT IN (SELECT city, kind, event_id FROM sc))"
+    " SELECT * FROM alive WHERE asset_id NOT IN (SELECT asset_id FROM up) UNION ALL SELECT up.asset_id, up.city, up.kind, up.event_id, up.role, coalesce(up.last_price, alive.last_price) FROM up LEFT JOIN alive ON up.asset_id = alive.asset_id",
+)
+def joi25_whole(v):
+    cols = ["asset_id", "city", "kind", "event_id", "role", "last_price"]
+    yes, market, event = F.col("yes_asset"), F.col("market_id"), F.col("event_id")
+    cur = v.markets.withColumns({"asset_id": F.when(market % 4 == 3, F.concat(F.lit("C"), yes)).otherwise(yes), "role": F.when(market % 9 == 0, "held_position").otherwise("temperature_market"), "last_price": F.col("yes_price")})
+    up = v.markets.withColumns({"asset_id": F.when(event % 3 == 1, yes).otherwise(F.concat(F.lit("U"), yes)), "role": F.lit("temperature_market"), "last_price": F.when(market % 5 == 0, 0.5)})
+    scope = v.markets.withColumn("event_id", F.when(event % 6 == 4, event).otherwise(-1 - event))
+    return L.merge_assets(cur.select(*cols), up.select(*cols), scope)
+
+
 @query(
     "mkt19_asset_universe", "trades markets",
     ", h AS (SELECT CASE WHEN coalesce(position_side, 'YES') = 'YES' THEN yes_asset ELSE no_asset END AS asset_id, m.market_id, coalesce(position_side, 'YES') AS side FROM trades t JOIN markets m ON t.market_id = m.market_id WHERE status = 'OPEN'),"

@@ -151,3 +151,10 @@ def src12(v):
     raw = v.predictions.filter("seq % 3 = 1").withColumns({"local_hour": F.lit("1"), "predicted_high_f": F.col("actual_high_f") + F.col("error_f"), "abs_error_f": F.abs("error_f")})
     checked = R.require_columns(raw, schemas.PREDICTION_REQUIRED, "predictions")
     return checked.select("station", tidy(F.col("actual_high_f")).alias("actual_high_f"), tidy(F.col("error_f")).alias("error_f"))
+
+
+@query("src12_typed_predictions_whole", "predictions", f"SELECT seq, station, {r('actual_high_f')} AS actual_high_f, {r('error_f')} AS error_f FROM predictions")
+def src12_whole(v):
+    raw = v.predictions.withColumns({"local_hour": F.lit("1"), "predicted_high_f": F.col("actual_high_f") + F.col("error_f"), "abs_error_f": F.abs("error_f")})
+    checked = R.require_columns(raw, schemas.PREDICTION_REQUIRED, "predictions")
+    return checked.select("seq", "station", tidy(F.col("actual_high_f")).alias("actual_high_f"), tidy(F.col("error_f")).alias("error_f"))

@@ -220,6 +220,21 @@ def joi14(v):
     return out.select("local_hour", "rmse_f", "baseline_rmse_f", *[tidy(F.col(c), 5).alias(c) for c in deltas])
 
 
+# The baseline of an hour is the report of the hour before it: all predictions are read, and the first hour has none.
+@query(
+    "joi14_baseline_deltas_whole", "predictions",
+    SQL_PRED + f", a AS (SELECT local_hour, {SQL_SHORT} FROM p GROUP BY 1), b AS (SELECT local_hour + 1 AS local_hour, {SQL_SHORT} FROM p GROUP BY 1)"
+    f" SELECT a.local_hour, a.rmse_f, b.rmse_f AS baseline_rmse_f, {r('a.rmse_f - b.rmse_f', 5)} AS rmse_delta_specialized_minus_baseline, {r('a.mae_f - b.mae_f', 5)} AS mae_delta_specialized_minus_baseline,"
+    f" {r('a.median_abs_error_f - b.median_abs_error_f', 5)} AS median_abs_error_delta_specialized_minus_baseline FROM a LEFT JOIN b ON a.local_hour = b.local_hour",
+)
+def joi14_whole(v):
+    p = _pred(v)
+    earlier = p.withColumn("local_hour", F.col("local_hour") + 1)
+    out = E.compare_with_baseline(_tidy_all(E.short_report(p, ["local_hour"])), _tidy_all(E.short_report(earlier, ["local_hour"])))
+    deltas = [c for c in out.columns if "delta" in c]
+    return out.select("local_hour", "rmse_f", "baseline_rmse_f", *[tidy(F.col(c), 5).alias(c) for c in deltas])
+
+
 @query(
     "joi15_win7_win8_station_ranking", "predictions",
     SQL_PRED + f", s AS (SELECT station, {SQL_FULL} FROM p GROUP BY 1), h AS (SELECT station, local_hour, {SQL_FULL} FROM p GROUP BY 1, 2),"
@@ -245,6 +260,17 @@ def joi16(v):
     return rows.join(dim, "g", "left").select("seq", "station", F.coalesce("name", F.lit("")).alias("city"))
 
 
+# All rows of the dimension; the keys of some are those of no station, so the stations of these keys are unknown.
+@query(
+    "joi16_station_dimension_whole", "obs",
+    ", d AS (SELECT n_nationkey + CASE WHEN n_nationkey < 20 THEN 0 ELSE 100 END AS g, concat('N', CAST(n_nationkey AS VARCHAR)) AS name FROM nation) SELECT seq, station, coalesce(name, '') AS city FROM obs LEFT JOIN d ON (CAST(substr(station, 2) AS BIGINT) - 100) % 25 = g",
+)
+def joi16_whole(v):
+    dim = v.nation.select((F.col("n_nationkey") + F.when(F.col("n_nationkey") < 20, 0).otherwise(100)).alias("g"), F.concat(F.lit("N"), F.col("n_nationkey")).alias("name"))
+    rows = v.obs.withColumn("g", (F.substring("station", 2, 20).cast("long") - 100) % 25)
+    return rows.join(dim, "g", "left").select("seq", "station", F.coalesce("name", F.lit("")).alias("city"))
+
+
 SQL_SNAP = SQL_PRED + (
     ", mm AS (SELECT station, local_minute AS pm FROM (SELECT station, local_minute, row_number() OVER (PARTITION BY station ORDER BY count(*) DESC, min(epoch * 1000000000 + seq)) AS rk FROM p GROUP BY 1, 2) WHERE rk = 1),"
     " cand AS (SELECT station, h * 60 + (pm + o) % 60 AS tg FROM mm, (SELECT unnest(range(24)) AS h), (SELECT unnest([0, 30]) AS o)),"

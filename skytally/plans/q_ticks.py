@@ -141,6 +141,16 @@ def joi8(v):
     return T.price_at(targets, v.ticks, ["asset"], 24 * T.HOUR).select("seq", F.col("asof_price").alias("price"))
 
 
+@query(
+    "joi8_price_at_or_before_whole", "ticks",
+    ", o AS (SELECT asset, us, arg_max(price, seq) AS price FROM ticks GROUP BY 1, 2), g AS (SELECT seq, asset, us - 36000000000 AS t FROM ticks), f AS (SELECT asset, arg_min(price, us) AS fp FROM o GROUP BY 1)"
+    " SELECT g.seq, coalesce(o.price, f.fp) AS price FROM g ASOF LEFT JOIN o ON g.asset = o.asset AND g.t >= o.us JOIN f ON g.asset = f.asset",
+)
+def joi8_whole(v):
+    targets = v.ticks.select("seq", "asset", (F.col("us") - 10 * T.HOUR).alias("target_us"))
+    return T.price_at(targets, v.ticks, ["asset"], 24 * T.HOUR).select("seq", F.col("asof_price").alias("price"))
+
+
 W = 21600  # six-hour windows here; the given ticks are minutes apart
 SQL_WIN = (
     f", g AS (SELECT *, CAST(floor(us / {W}000000.0e0) AS BIGINT) * {W}000000 AS window_us FROM ticks WHERE price > 0), w0 AS (SELECT asset, window_us, first(price ORDER BY us, seq) AS open, last(price ORDER BY us, seq) AS close, max(price) AS high, min(price) AS low, count(*) AS ticks FROM g GROUP BY 1, 2),"
@@ -235,6 +245,17 @@ def mkt18(v):
     return T.window_outcomes(ps, T.window_moves(v.ticks, W)).select("seq", "winner", tidy(F.col("profit")).alias("profit"))
 
 
+@query(
+    "mkt18_window_outcomes_whole", "ticks",
+    SQL_WIN + f", ps AS (SELECT seq, asset, CAST(floor(us / {W}000000.0e0) AS BIGINT) * {W}000000 AS window_us, CASE WHEN seq % 2 = 0 THEN 'UP' ELSE 'DOWN' END AS side, qty AS shares, qty * price AS cost FROM ticks)"
+    f" SELECT seq, CASE WHEN close >= open THEN 'UP' ELSE 'DOWN' END AS winner, {r('CASE WHEN (close >= open) = (side = $$UP$$) THEN shares ELSE 0 END - cost')} AS profit FROM ps JOIN wm ON ps.asset = wm.asset AND ps.window_us = wm.window_us",
+)
+def mkt18_whole(v):
+    ps = v.ticks.select("seq", "asset", (F.floor(F.col("us") / (W * T.SECOND)) * (W * T.SECOND)).alias("window_us"),
+                        F.when(F.col("seq") % 2 == 0, "UP").otherwise("DOWN").alias("side"), F.col("qty").alias("shares"), (F.col("qty") * F.col("price")).alias("cost"))
+    return T.window_outcomes(ps, T.window_moves(v.ticks, W)).select("seq", "winner", tidy(F.col("profit")).alias("profit"))
+
+
 # Report windows ------------------------------------------------------------------------------------------------
 SQL_SCHED = ", ws AS (SELECT DISTINCT asset, CAST(floor(us / 3600000000.0e0) AS BIGINT) * 3600 + 1380 AS expected_epoch FROM ticks)"
 
