@@ -124,6 +124,32 @@ def test_rules(spark, docs, empty):
     assert rules.judge(empty, labels).count() == 0
 
 
+def test_rules_with_certified_cutoffs(spark):
+    """A stratum with 2,040 good labels gets cutoffs, one with 2,010 none (of two, 2,028 are needed); all rows as in the checking SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    from skytally.llm import queries
+
+    rows, labels = [], []
+    for lang, good in (("en", 2040), ("fr", 2010)):
+        for k in range(good + 60):
+            tail = "" if k < good else " ### $$$ ***" if k % 2 else " SHOUTED LOUD WORDS"
+            rows.append((len(rows), " ".join(f"{lang}{k}x{i}" for i in range(14)) + tail, lang))
+            labels.append((rows[-1][0], int(k < good), 0))
+    schema, known = "doc_id long, text string, lang string", "doc_id long, quality int, toxic int"
+    documents, rated = spark.createDataFrame(rows, schema).repartition(4), spark.createDataFrame(labels, known)
+    out = rules.judge(documents, rated)
+    con = duckdb.connect()
+    con.register("documents", documents.toPandas())
+    con.register("labels", rated.toPandas())
+    found = con.execute(queries.ORACLE["op3_rules"])
+    columns = [d[0] for d in found.description]
+    expected = found.fetchall()
+    same(out, expected, *columns)
+    kept = {r[columns.index("doc_id")]: r[columns.index("kept")] for r in expected}
+    gone = {k for k in kept if not kept[k]}
+    assert gone == set(range(2040, 2100))
+
+
 def test_binomial_tail(spark):
     cases = [(0, 1, 0.0025), (0, 2305, 0.0025), (20, 9400, 0.0025), (3, 40, 0.2), (200, 100_000, 0.0025)]
     for k, n, p in cases:
