@@ -72,7 +72,7 @@ def ml4(v):
 @query("ml5_ml7_train_and_score")
 def ml5(v):
     data = stored(_training(v), "training")
-    best, _ = TR.best_variant(data, FEATURES, variants=("month_day", "cyclical_day_of_year"), rounds=2, depth=3)
+    best, _ = TR.best_variant(data, FEATURES)
     scored = TR.score(data.filter("split = 'validation'"), best.model, best.features, observed="day_max_so_far_f")
     return scored.select("seq", "station", "local_hour", "daily_high_f", tidy(F.col("predicted_high_f")).alias("predicted_high_f"))
 
@@ -80,7 +80,7 @@ def ml5(v):
 @query("ml10_class_probabilities")
 def ml10(v):
     data = stored(_training(v), "training")
-    model, low, cols = TR.train_classifier(data.filter("split = 'train'"), FEATURES, trees=3, depth=3)
+    model, low, cols = TR.train_classifier(data.filter("split = 'train'"), FEATURES)
     return TR.class_probabilities(data.filter("split = 'validation'"), model, low, cols, ["seq", "station"])
 
 

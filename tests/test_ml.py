@@ -67,3 +67,22 @@ def test_celsius_features(spark, views):
     assert f.columns[1:] == FT.columns(6, 6) + ["temp_f_change_0_5h", "temp_f_change_1_5h"]
     regular = FT.feature_table(rows, regular_only=True)
     assert regular.count() == f.filter("is_extra_metar_report = 0").count()
+
+
+def test_training_queries_are_of_production_size(spark, views, monkeypatch):
+    from skytally.plans import q_ml
+
+    runs, forests = [], []
+    train, classify = TR.train_variant, TR.train_classifier
+    monkeypatch.setattr(TR, "train_variant", lambda *a, **o: runs.append(train(*a, **o)) or runs[-1])
+    monkeypatch.setattr(TR, "train_classifier", lambda *a, **o: forests.append(classify(*a, **o)) or forests[-1])
+    rows = {(r["station"], r["seq"]) for r in q_ml._training(views).filter("split = 'validation'").collect()}
+    scored = q_ml.ml5(views).collect()
+    assert [t.variant for t in runs] == list(S.VARIANT_DROPS)
+    assert {(t.model.stages[-1].getOrDefault("maxDepth"), t.model.stages[-1].getNumTrees <= 20) for t in runs} == {(5, True)}
+    assert {(r["station"], r["seq"]) for r in scored} == rows and len(scored) == len(rows)
+    sums = {}
+    for r in q_ml.ml10(views).collect():
+        sums[r["station"], r["seq"]] = sums.get((r["station"], r["seq"]), 0) + r["p"]
+    assert set(sums) == rows and all(abs(x - 1) < 1e-6 for x in sums.values())
+    assert forests[0][0].stages[-1].getNumTrees == 20
