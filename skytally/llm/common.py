@@ -42,3 +42,8 @@ def split_words(text: Column, separators: str) -> Column:
 def remainder(key: str, by: int) -> Column:
     """crc32 of the key as text modulo ``by``; null for a null key."""
     return F.crc32(F.col(key).cast("string")) % by
+
+
+def column_types(fields) -> list[str]:
+    """Name and type of each column, as a schema in text wants them."""
+    return [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]

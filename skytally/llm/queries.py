@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytally import session
-from skytally.llm import bpe, decontam, grade, jaccard, langid, licenses, lmscore, rules, sharding, warc
+from skytally.llm import bpe, centroids, decontam, grade, jaccard, langid, licenses, lmscore, pieces, rules, sharding, target, warc
 from skytally.llm.common import table
 
 SHARDS = 24
@@ -59,13 +59,61 @@ def op10_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade.grade_documents(docs, grade.train(docs, table(spark, sf_dir, "labels"), grade.quality_and_toxicity()))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language, op3_rules, op4_licenses, op5_warc, op6_sharding, op7_jaccard, op8_decontamination, op9_lm_score, op10_grade)}
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), ids=False)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bpe, op2_language, op3_rules, op4_licenses, op5_warc, op6_sharding, op7_jaccard, op8_decontamination, op9_lm_score,
+        op10_grade, op11_target_resampling, op12_centroids, op13_sentencepiece,
+    )
+}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _TOKEN = r"[^\x20\x09-\x0D]+"
 
+
+def _centroid_sql(centroids: int = 40, rounds: int = 5) -> str:
+    """Every round computes all distances anew."""
+    nearest = """
+SELECT r, vec_id, x, arg_min(k, (d, k)) AS k, min(d) AS d FROM (
+  SELECT r, vec_id, x, k, CAST(list_sum(list_transform(range(1, 65), lambda j: (x[j] - c[j]) * (x[j] - c[j]))) AS BIGINT) AS d FROM v, c{0}
+) GROUP BY r, vec_id, x"""
+    move = """
+SELECT c{0}.k, coalesce(m.c, c{0}.c) AS c FROM c{0} LEFT JOIN (
+  SELECT k, list(y ORDER BY j) AS c FROM (
+    SELECT k, j, CAST((sum(x[j]) - ((sum(x[j]) % count(*)) + count(*)) % count(*)) / count(*) AS BIGINT) AS y FROM a{0}, range(1, 65) t(j) GROUP BY k, j
+  ) GROUP BY k
+) m ON m.k = c{0}.k"""
+    parts = [
+        """v AS MATERIALIZED (
+SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS INT) AS k, x AS c FROM v WHERE vec_id IS NOT NULL QUALIFY k < {centroids})",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"a{n} AS MATERIALIZED ({nearest.format(n)})")
+        if n < rounds:
+            parts.append(f"c{n + 1} AS MATERIALIZED ({move.format(n)})")
+    return f"""WITH {", ".join(parts)}
+SELECT a.vec_id, a.k AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.k = a.k"""
+
+
 ORACLE = {
+    "op12_centroids": _centroid_sql(),
     "op5_warc": """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
