@@ -19,9 +19,9 @@ import hashlib
 import heapq
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,12 @@ from skytally.llm.common import column_types
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 LOST = "�"
-#: Bytes of cached words after which a new generation begins. It bounds memory, not results.
-CACHE_BYTES = 160 << 20
-#: Characters up to which a scan for the best pair costs less than a heap, and a score below that of any pair.
-SHORT, NEVER = 40, float("-inf")
+#: Bytes of cached words after which a new generation begins, and characters of text whose new words are merged together.
+#: They bound memory, not results.
+CACHE_BYTES, BLOCK = 128 << 20, 1_500_000
+#: The number of the first letter without a piece (all pieces have smaller ones), what stands for pairs that are never
+#: merged, and the lengths of words that are merged in one matrix; longer ones are merged one by one, with a heap.
+LETTER, NEVER, WIDTHS = 1 << 21, 1 << 60, (8, 12, 16, 24, 40)
 
 
 class CharMap:
@@ -158,16 +160,68 @@ def _decode_long(run: bytes) -> str:
     return "".join(out)
 
 
-class Words(dict):
-    """Text between two spaces to the number of its entry; unknown ones are encoded on the way."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word: str) -> int:
-        value = self[word] = self.make(word)
-        return value
+class Pairs:
+    """What two neighbouring pieces make: order of the score << 21 | number of the piece. An open hash table of arrays."""
+
+    def __init__(self, made: dict[int, int]):
+        keys, values = np.fromiter(made.keys(), np.int64, len(made)), np.fromiter(made.values(), np.int64, len(made))
+        self.bits = max(10, (4 * len(made)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NEVER, np.int64)
+        at = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] < 0)
+            _, one = np.unique(at[free], return_index=True)
+            placed = free[one]
+            self.keys[at[placed]], self.values[at[placed]] = keys[placed], values[placed]
+            left = np.ones(len(keys), bool)
+            left[placed] = False
+            keys, values, at = keys[left], values[left], (at[left] + 1) & (1 << self.bits) - 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = (a << 22 | b).ravel()
+        at = self._slot(key)
+        there = self.keys[at]
+        out = np.where(there == key, self.values[at], NEVER)
+        todo = np.flatnonzero((there != key) & (there >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (1 << self.bits) - 1
+            there = self.keys[at[todo]]
+            out[todo] = np.where(there == key[todo], self.values[at[todo]], NEVER)
+            todo = todo[(there != key[todo]) & (there >= 0)]
+        return out.reshape(a.shape)
+
+    def merge(self, rows: np.ndarray) -> None:
+        """In every row of letters, -1 behind the end, merge the first pair of the best score until there is none."""
+        words, places = np.arange(len(rows)), np.arange(rows.shape[1])
+        made = self.find(np.maximum(rows[:, :-1], 0), np.maximum(rows[:, 1:], 0))
+        made[rows[:, 1:] < 0] = NEVER
+        now = rows
+        while True:
+            at = made.argmin(1)
+            best = made[np.arange(len(now)), at]
+            go = best < NEVER
+            if not go.all():
+                rows[words] = now
+                words, now, made, at, best = words[go], now[go], made[go], at[go], best[go]
+            if not len(words):
+                return
+            one, behind = np.arange(len(now)), places > at[:, None]
+            now[:, :-1] = np.where(behind[:, :-1], now[:, 1:], now[:, :-1])
+            now[:, -1] = -1
+            new = now[one, at] = best & (LETTER - 1)
+            made[:, :-1] = np.where(behind[:, :-2], made[:, 1:], made[:, :-1])
+            made[:, -1] = NEVER
+            # The pair that begins with the new piece, and the one that ends with it.
+            right = now[one, np.minimum(at + 1, len(places) - 1)]
+            some = at < made.shape[1]
+            found = np.where((right >= 0) & (at + 1 < len(places)), self.find(new, np.maximum(right, 0)), NEVER)
+            made[one[some], at[some]] = found[some]
+            some = at > 0
+            made[one[some], at[some] - 1] = self.find(now[one[some], at[some] - 1], new[some])
 
 
 def _room(values: np.ndarray, size: int) -> np.ndarray:
@@ -194,9 +248,9 @@ class Codec:
         self.unknown = self.kinds.index(UNKNOWN)
         self.byte_ids = [self.ids.get(f"<0x{b:02X}>", self.unknown) for b in range(256)] if spec.trainer_spec.byte_fallback else None
         self.decimal = [str(k) for k in range(len(self.names))]
-        self.bytes = [len(x.encode()) for x in self.names]
-        self.plain = [x.replace(MARK, " ") if kind in (NORMAL, USER, UNUSED) else None for x, kind in zip(self.names, self.kinds)]
         self.byte_of = {k: int(self.names[k][3:5], 16) for k, kind in enumerate(self.kinds) if kind == BYTE}
+        self.special = {k for k, kind in enumerate(self.kinds) if kind in (CONTROL, UNKNOWN)}
+        self.plain = [self._plain(k) for k in range(len(self.names))]
         self.lost = spec.trainer_spec.unk_surface or " ⁇ "
         user = [self.names[k] for k in words if self.kinds[k] == USER]
         self.user = re.compile("|".join(re.escape(x) for x in sorted(user, key=len, reverse=True))) if user else None
@@ -207,75 +261,89 @@ class Codec:
         inner = re.compile(f"[^{MARK}]{MARK}")
         self.cuts = not any(inner.search(x) for x in self.scores) and self.ids.get(MARK, self.unknown) != self.unknown
         self.chunks = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
-        self.lines = not any("\n" in x for x in self.names if len(x) > 1)
+        self.letters = np.arange(LETTER, LETTER + 0x110000, dtype=np.int64)
+        for b in range(128 if self.byte_ids else 0):
+            self.letters[b] = self.byte_ids[b] if self.byte_ids[b] != self.unknown else LETTER + b
+        for x in self.scores:
+            if len(x) == 1:
+                self.letters[ord(x)] = self.ids[x]
+        self.pairs = Pairs(self._made())
+        self.lengths = np.array([1 if kind == BYTE else len(x.encode()) for x, kind in zip(self.names, self.kinds)], np.int64)
         self.clear()
 
+    def _plain(self, k: int) -> bytes:
+        """What a piece stands for within a text; bytes are put together to letters."""
+        if self.kinds[k] == BYTE:
+            return bytes([self.byte_of[k]])
+        return b"" if self.kinds[k] in (CONTROL, UNKNOWN) else self.names[k].replace(MARK, " ").encode()
+
+    def _made(self) -> dict[int, int]:
+        """All pairs of pieces or letters that make a piece."""
+        order = {x: n for n, x in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        out = {}
+        for whole, score in self.scores.items():
+            for k in range(1, len(whole)):
+                a, b = (int(self.letters[ord(x)]) if len(x) == 1 else self.ids[x] if x in self.scores else -1 for x in (whole[:k], whole[k:]))
+                if a >= 0 and b >= 0:
+                    out[a << 22 | b] = order[score] << 21 | self.ids[whole]
+        return out
+
     def clear(self) -> None:
-        """Begin a new generation of the cache."""
-        self.words = Words(lambda word: self._enter(MARK + word))
-        self.parts = Words(self._enter)
-        self.numbers: list[str] = []
-        self.shown: list[bytes] = []
+        """Begin a new generation of the cache: words behind a space without it, other chunks of text, and their pieces."""
+        self.words: dict[str, int] = {}
+        self.parts: dict[str, int] = {}
         self.first, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat_ids, self.flat_lengths = np.zeros(4096, np.int32), np.zeros(4096, np.int64)
-        self.used = self.size = 0
-        self.fresh: tuple[list[int], list[int], list[int]] = ([], [], [])
-
-    def _enter(self, chunk: str) -> int:
-        """Encode a chunk of normalised text and keep what texts need of it."""
-        ids, lengths = self.merge(chunk)
-        counts, fresh_ids, fresh_lengths = self.fresh
-        counts.append(len(ids))
-        fresh_ids += ids
-        fresh_lengths += lengths
-        self.numbers.append(",".join(map(self.decimal.__getitem__, ids)))
-        shown = list(map(self.plain.__getitem__, ids))
-        self.shown.append((self._text(ids, False) if None in shown else "".join(shown)).encode())
-        self.size += 300 + 4 * len(chunk) + 20 * len(ids)
-        return len(self.numbers) - 1
-
-    def _settle(self) -> None:
-        """Move what was entered since the last time into the arrays."""
-        counts, ids, lengths = self.fresh
-        if not counts:
-            return
-        k, n = len(self.numbers) - len(counts), len(ids)
-        self.first, self.count = _room(self.first, k + len(counts)), _room(self.count, k + len(counts))
-        self.flat_ids, self.flat_lengths = _room(self.flat_ids, self.used + n), _room(self.flat_lengths, self.used + n)
-        self.count[k : k + len(counts)] = counts
-        self.first[k : k + len(counts)] = self.used + np.cumsum([0, *counts[:-1]])
-        self.flat_ids[self.used : self.used + n] = ids
-        self.flat_lengths[self.used : self.used + n] = lengths
-        self.used += n
-        self.fresh = ([], [], [])
+        self.used = self.size = self.entries = 0
+
+    def _enter(self, cache: dict[str, int], keys: list[str], front: str) -> None:
+        """Encode chunks of normalised text, many at once, and keep their pieces under their keys."""
+        widths = np.searchsorted(WIDTHS, np.fromiter(map(len, keys), np.int64, len(keys)) + len(front))
+        for k in np.unique(widths).tolist():
+            group = [keys[n] for n in np.flatnonzero(widths == k)]
+            chunks = [front + x for x in group]
+            if k == len(WIDTHS) or self.user or self.unused:
+                whole, rows = np.ones(len(group), bool), None
+            else:
+                lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+                rows = np.full((len(chunks), WIDTHS[k]), -1, np.int64)
+                codes = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)
+                rows[np.arange(WIDTHS[k]) < lengths[:, None]] = self.letters[codes]
+                self.pairs.merge(rows)
+                whole = (rows >= LETTER).any(1)
+                simple = rows[~whole]
+                self._keep(cache, [group[n] for n in np.flatnonzero(~whole)], simple[simple >= 0], (simple >= 0).sum(1))
+            for n in np.flatnonzero(whole).tolist():
+                ids, lengths = self._spell(rows[n]) if rows is not None else self._merge_long(chunks[n])
+                self._keep(cache, [group[n]], np.array(ids, np.int64), np.array([len(ids)]), np.array(lengths, np.int64))
+
+    def _keep(self, cache: dict[str, int], keys: list[str], ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray | None = None) -> None:
+        k, n, used = len(keys), len(ids), self.used
+        self.first, self.count = _room(self.first, self.entries + k), _room(self.count, self.entries + k)
+        self.flat_ids, self.flat_lengths = _room(self.flat_ids, used + n), _room(self.flat_lengths, used + n)
+        self.count[self.entries : self.entries + k] = counts
+        self.first[self.entries : self.entries + k] = used + counts.cumsum() - counts
+        self.flat_ids[used : used + n] = ids
+        self.flat_lengths[used : used + n] = self.lengths[ids] if lengths is None else lengths
+        cache.update(zip(keys, range(self.entries, self.entries + k)))
+        self.used, self.entries = used + n, self.entries + k
+        self.size += 180 * k + 2 * sum(map(len, keys)) + 12 * n
+
+    def _spell(self, row: np.ndarray) -> tuple[list[int], list[int]]:
+        """Ids and lengths of merged pieces among which are letters without a piece."""
+        ids: list[int] = []
+        lengths: list[int] = []
+        for k in row[row >= 0].tolist():
+            self._put(self.names[k] if k < LETTER and self.kinds[k] != BYTE else chr(k - LETTER if k >= LETTER else self.byte_of[k]), ids, lengths)
+        return ids, lengths
 
     def merge(self, chunk: str) -> tuple[list[int], list[int]]:
         """Ids of normalised text, and how many of its bytes each stands for."""
-        if len(chunk) <= SHORT and not self.user and not self.unused:
-            symbols = self._merge_short(chunk)
-            ids = list(map(self.ids.get, symbols))
-            if None not in ids:
-                return ids, list(map(self.bytes.__getitem__, ids))
-            ids, lengths = [], []
-            for piece in symbols:
-                self._put(piece, ids, lengths)
-            return ids, lengths
-        return self._merge_long(chunk)
-
-    def _merge_short(self, chunk: str) -> list[str]:
-        """The first pair of the highest score, again and again."""
-        score = self.scores.get
-        symbols = list(chunk)
-        pairs = [score(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]
-        while pairs and (best := max(pairs)) > NEVER:
-            k = pairs.index(best)
-            symbols[k] += symbols[k + 1]
-            del symbols[k + 1], pairs[k]
-            if k:
-                pairs[k - 1] = score(symbols[k - 1] + symbols[k], NEVER)
-            if k < len(pairs):
-                pairs[k] = score(symbols[k] + symbols[k + 1], NEVER)
-        return symbols
+        cache: dict[str, int] = {}
+        self._enter(cache, [chunk], "")
+        at = self.first[cache[chunk]]
+        some = slice(at, at + self.count[cache[chunk]])
+        return self.flat_ids[some].tolist(), self.flat_lengths[some].tolist()
 
     def _merge_long(self, chunk: str) -> tuple[list[int], list[int]]:
         """The same with a heap of pairs, with pieces that are never split and pieces that are kept only for merging."""
@@ -346,35 +414,64 @@ class Codec:
             ids.append(k)
             lengths.append(len(code))
 
-    def entries(self, text: str) -> tuple[list[int], np.ndarray]:
-        """Cache entries that make up a text, and the original place of every normalised byte."""
+    def _chunks(self, text: str) -> tuple[dict[str, int] | None, list[str], np.ndarray]:
+        """The cache for a text's chunks, the chunks, and the original place of every normalised byte."""
         data = text.encode()
         normal, places = self.normaliser.run(data)
         if not normal:
-            return [], places
+            return self.parts, [], places
         if not self.cuts:
-            return [self._enter(normal.decode())], places
+            return None, [normal.decode()], places
         if self.normaliser.copies and self.normaliser.prefix and text[0] != " " != text[-1] and "  " not in text and MARK not in text:
-            return list(map(self.words.__getitem__, text.split(" "))), places
-        return list(map(self.parts.__getitem__, self.chunks(normal.decode()))), places
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, str, bytes]:
-        """Ids, first and end byte of each in the original text, the ids as decimal text, and the decoded text."""
-        if self.size > CACHE_BYTES:
-            self.clear()
-        if not text:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), "", b""
-        found, places = self.entries(text)
-        self._settle()
-        at = np.array(found, np.int64)
-        counts = self.count[at]
-        ends = counts.cumsum()
-        flat = np.repeat(self.first[at] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
-        ids, stops = self.flat_ids[flat], self.flat_lengths[flat].cumsum()
-        starts = np.concatenate([[0], stops[:-1]]) if len(stops) else stops
-        numbers = ",".join(map(self.numbers.__getitem__, found))
-        shown = b"".join(map(self.shown.__getitem__, found))
-        return ids, places[starts], places[stops], numbers, shown[self._trim(ids, shown) :]
+            return self.words, text.split(" "), places
+        return self.parts, self.chunks(normal.decode()), places
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text its ids, and the first and end byte of each one's span."""
+        block, size = [], 0
+        for text in texts:
+            if self.size > CACHE_BYTES and not block:
+                self.clear()
+            block.append(self._chunks(text or ""))
+            size += len(text or "")
+            if size >= BLOCK:
+                yield from self._block(block)
+                block, size = [], 0
+        yield from self._block(block)
+
+    def _block(self, block: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for cache, front in ((self.words, MARK), (self.parts, "")):
+            fresh = set(chain.from_iterable(keys for by, keys, _ in block if by is cache)).difference(cache)
+            if fresh:
+                self._enter(cache, list(fresh), front)
+        for cache, keys, places in block:
+            if cache is None:
+                ids, lengths = (np.array(x, np.int64) for x in self._merge_long(keys[0]))
+            else:
+                at = np.fromiter(map(cache.__getitem__, keys), np.int64, len(keys))
+                counts = self.count[at]
+                ends = counts.cumsum()
+                flat = np.repeat(self.first[at] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+                ids, lengths = self.flat_ids[flat], self.flat_lengths[flat]
+            stops = lengths.cumsum()
+            yield ids, places[stops - lengths], places[stops]
+
+    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return next(self.encode_all([text]))
+
+    def decimals(self, ids: np.ndarray) -> str:
+        return ",".join(map(self.decimal.__getitem__, ids.tolist()))
+
+    def shown(self, ids: np.ndarray) -> bytes:
+        """The decoded text. Where bytes of letters are whole, as in encoded texts, it is that of the pieces one by one."""
+        out = b"".join(map(self.plain.__getitem__, ids.tolist()))
+        try:
+            out.decode()
+        except UnicodeDecodeError:
+            return self.decode(ids.tolist()).encode()
+        if self.special and not self.special.isdisjoint(ids.tolist()):
+            return self.decode(ids.tolist()).encode()
+        return out[self._trim(ids, out) :]
 
     def _trim(self, ids: np.ndarray, shown: bytes) -> int:
         """Spaces that decoding takes from the front: one, or all where normalising squeezes them."""
@@ -399,7 +496,7 @@ class Codec:
             kind = self.kinds[k]
             if kind == CONTROL:
                 continue
-            shown = self.lost if kind == UNKNOWN else self.plain[k]
+            shown = self.lost if kind == UNKNOWN else self.plain[k].decode()
             if front and kind != UNKNOWN and shown.startswith(" "):
                 shown, front = shown[1:], self.squeezes
             out.append(shown)
@@ -457,15 +554,14 @@ def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
 
     def told(codec: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
         lengths, covered, spans, a, b = [], [], [], [], []
-        for value in batch.column(batch.num_columns - 1):
-            tokens, starts, ends, numbers, shown = codec.encode(value.as_py() or "")
+        for tokens, starts, ends in codec.encode_all(x.as_py() for x in batch.column(batch.num_columns - 1)):
             lengths.append(len(tokens))
             covered.append(int((ends - starts).sum()))
             if ids:
                 spans.append((tokens, starts, ends))
             if digests:
-                a.append(hashlib.sha256(numbers.encode()).hexdigest())
-                b.append(hashlib.sha256(shown).hexdigest())
+                a.append(hashlib.sha256(codec.decimals(tokens).encode()).hexdigest())
+                b.append(hashlib.sha256(codec.shown(tokens)).hexdigest())
         columns = [*batch.columns[:-1], pa.array(lengths, pa.int64()), pa.array(covered, pa.int64())]
         if ids:
             offsets = pa.array([0, *accumulate(lengths)], pa.int32())

@@ -240,7 +240,7 @@ def test_pieces_kept_for_merging_and_pieces_never_split():
     changed = pieces.Codec(spec.SerializeToString())
     library = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
     for text in ("the international nation of the others", "ationation  of", ""):
-        ids, starts, ends, _, shown = changed.encode(text)
+        ids, starts, ends = changed.encode(text)
         found = library.encode(text, return_type="proto")
         assert [(p.id, p.begin, p.end) for p in found.pieces] == list(zip(ids.tolist(), starts.tolist(), ends.tolist()))
-        assert shown.decode() == library.decode(ids.tolist())
+        assert changed.shown(ids).decode() == library.decode(ids.tolist())
