@@ -24,17 +24,24 @@ def _best(node: Column, side: str, pick) -> Column:
     return pick(prices)
 
 
+def _members(node: Column) -> Column:
+    return F.try_variant_get(node, "$", "array<variant>")
+
+
+def _values(node: Column) -> Column:
+    return F.try_variant_get(node, "$", "map<string,variant>")
+
+
 def _opened(node: Column) -> Column:
-    """JSON text as what it holds; anything else as it is."""
-    return F.coalesce(F.when(F.schema_of_variant(node) == "STRING", F.try_parse_json(F.try_variant_get(node, "$", "string"))), node)
+    """JSON text as what it holds; anything else as it is. (A variant's schema would be worked out in full depth.)"""
+    scalar = _members(node).isNull() & _values(node).isNull()
+    return F.coalesce(F.when(scalar, F.try_parse_json(F.try_variant_get(node, "$", "string"))), node)
 
 
 def _children(nodes: Column) -> Column:
     """Members of lists, text among them opened, and values of objects; scalars have none."""
     return F.flatten(F.transform(nodes, lambda n: F.coalesce(
-        F.transform(F.try_variant_get(n, "$", "array<variant>"), _opened),
-        F.map_values(F.try_variant_get(n, "$", "map<string,variant>")),
-        F.array().cast("array<variant>"))))
+        F.transform(_members(n), _opened), F.map_values(_values(n)), F.array().cast("array<variant>"))))
 
 
 def nesting(text: Column) -> Column:
@@ -46,24 +53,27 @@ def nesting(text: Column) -> Column:
         (acc["now"] + step(x)).alias("now"), F.greatest(acc["most"], acc["now"] + step(x)).alias("most")), lambda acc: acc["most"])
 
 
-def price_rows(df: DataFrame, message: str = "message", depth: int | None = None) -> DataFrame:
+def _walk(root: Column, levels: Column) -> Column:
+    """All nodes of one message, level by level: a loop inside the row that runs as often as this message is deep."""
+    none = F.array().cast("array<variant>")
+    start = F.struct(F.array_compact(F.array(root)).alias("front"), none.alias("seen"))
+    step = lambda acc, _: F.struct(_children(acc["front"]).alias("front"), F.concat(acc["seen"], acc["front"]).alias("seen"))
+    return F.aggregate(F.sequence(F.lit(0), levels), start, step, lambda acc: acc["seen"])
+
+
+def price_rows(df: DataFrame, message: str = "message") -> DataFrame:
     """One row (asset, price, field) per price in a message of any of the feed's shapes.
 
-    The walk goes through lists and objects inside one row, as deep as the deepest message, then explodes once. For a
-    stream, whose deepest message is not known, ``depth`` says how deep. Text that is not JSON gives no rows; JSON text
-    at the top or in a list is opened.
+    The walk goes through lists and objects inside one row, as deep as that message goes, so neither the plan nor other
+    messages pay for a deep one, and streams need no depth. Text that is not JSON gives no rows (nor does what Spark's
+    parser refuses, more than 1000 levels); JSON text at the top or in a list is opened.
     """
     keep = [c for c in df.columns if c != message]
-    if depth is None:
-        if df.isStreaming:
-            raise ValueError("a stream needs a depth")
-        depth = df.agg(F.max(nesting(F.col(message)))).first()[0] or 0
     root = _opened(F.try_parse_json(F.col(message)))
-    out = df.select(*keep, F.array_compact(F.array(root)).alias("_n0"))
-    for i in range(depth):
-        out = out.withColumn(f"_n{i + 1}", _children(F.col(f"_n{i}")))
-    nodes = F.concat(*[F.col(f"_n{i}") for i in range(depth + 1)])
-    out = out.select(*keep, F.explode(nodes).alias("n")).filter(F.schema_of_variant("n").startswith("OBJECT"))
+    # The root and the depth are columns of their own, so that each is worked out once for a row.
+    parsed = df.select(*keep, root.alias("_root"), nesting(F.col(message)).alias("_levels")).filter("_root IS NOT NULL")
+    nodes = _walk(F.col("_root"), F.col("_levels"))
+    out = parsed.select(*keep, F.explode(nodes).alias("n")).filter(_values(F.col("n")).isNotNull())
     n = F.col("n")
     kind = F.coalesce(_text(n, "event_type", "eventType"), F.lit(""))
     trade, book = kind == "last_trade_price", kind == "book"

@@ -93,6 +93,21 @@ def par12(v):
     return MS.price_rows(v.ticks.select("seq", doc.alias("message"))).withColumn("price", tidy(F.col("price")))
 
 
+@query(
+    "par12_deep_message_prices", "ticks",
+    "SELECT seq, asset, 'last_price' AS field, price FROM ticks WHERE seq % 2 = 0 OR seq % 500 IN (17, 19) UNION ALL SELECT seq, concat(asset, 'd'), 'best_bid', price FROM ticks WHERE seq % 500 = 19",
+)
+def par12_deep(v):
+    """Plain messages, and among them some 6, 9 and 500 levels deep, one of them with prices on two levels."""
+    price, asset = F.col("price").cast("string"), F.col("asset")
+    deep = lambda levels, inner: F.concat(F.lit('{"a":[' * (levels // 2)), inner, F.lit("]}" * (levels // 2)))
+    one = F.format_string('{"asset":"%s","last_price":%s}', asset, price)
+    two = F.concat(F.format_string('{"asset":"%sd","best_bid":%s,"b":', asset, price), deep(500, one), F.lit("}"))
+    doc = F.when(F.col("seq") % 500 == 17, deep(500, one)).when(F.col("seq") % 500 == 19, two).when(F.col("seq") % 4 == 0, deep(6, one)).when(F.col("seq") % 4 == 2, deep(8, one)).otherwise('{"a":[]}')
+    out = MS.price_rows(v.ticks.select("seq", doc.alias("message")))
+    return out.withColumn("price", tidy(F.col("price")))
+
+
 @query(
     "mkt14_fill_messages", "ticks",
     "SELECT seq, concat('o', asset) AS order_id, qty AS shares, price, 'order' AS role FROM ticks WHERE seq % 3 = 0 UNION ALL SELECT seq, concat('t', asset), qty, price, 'taker' FROM ticks WHERE seq % 3 = 1"
