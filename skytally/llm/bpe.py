@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from itertools import accumulate, chain
 
 import numpy as np
@@ -271,12 +272,18 @@ def default_vocabulary() -> str:
 _CODECS: dict[str, Codec] = {}
 
 
-def _codec(digest: str, vocabulary) -> Codec:
-    """One for each Python worker and vocabulary; its caches live as long as the worker."""
+@contextmanager
+def _codec(digest: str, vocabulary) -> Iterator[Codec]:
+    """One for each Python worker and vocabulary; its caches live as long as the task."""
     if digest not in _CODECS:
         _CODECS.clear()
         _CODECS[digest] = Codec(vocabulary.value)
-    return _CODECS[digest]
+    codec = _CODECS[digest]
+    try:
+        yield codec
+    finally:
+        for kept in (codec.words, codec.chunks):
+            kept.now, kept.old = {}, {}
 
 
 def _shared(df: DataFrame, vocabulary: str | None):
@@ -298,7 +305,10 @@ def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), *out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(digest, content)
+        with _codec(digest, content) as codec:
+            yield from told(codec, batches)
+
+    def told(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths, all_ids, a, b = [], [], [], []
             texts = (value.as_py() for value in batch.column(batch.num_columns - 1))
@@ -330,9 +340,9 @@ def decode(df: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",),
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "text string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(digest, content)
-        for batch in batches:
-            texts = [None if x is None else codec.decode(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "text"])
+        with _codec(digest, content) as codec:
+            for batch in batches:
+                texts = [None if x is None else codec.decode(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "text"])
 
     return source.mapInArrow(run, schema)

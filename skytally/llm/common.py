@@ -39,6 +39,20 @@ def split_words(text: Column, separators: str) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), separators), "")
 
 
+def with_text(df: DataFrame, keep: tuple[str, ...], text: str, *more: Column) -> DataFrame:
+    """The ``keep`` columns, ``more``, and the text as the last column, unless it is a field of a kept struct (``a.b``)."""
+    inside = text.rsplit(".", 1)[0] in keep and "." in text
+    return df.select(*keep, *more, *([] if inside else [F.col(text).cast("string").alias("__text")]))
+
+
+def texts(batch, keep: tuple[str, ...], text: str):
+    """The texts of a batch made by ``with_text``: a text that is kept goes to Python once."""
+    if "." in text and text.rsplit(".", 1)[0] in keep:
+        outer, inner = text.rsplit(".", 1)
+        return batch.column(keep.index(outer)).field(inner)
+    return batch.column(batch.num_columns - 1)
+
+
 def remainder(key: str, by: int) -> Column:
     """crc32 of the key as text modulo ``by``; null for a null key."""
     return F.crc32(F.col(key).cast("string")) % by

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skytally.llm.common import column_types, texts, with_text
+
 BITS = 18
 CAPITALS, SYMBOLS = bytes(range(65, 91)), b"#*$%&|<>!@^~_=+{}[]\\/"
 #: ASCII: capitals to lower case, everything that is neither letter nor digit to a space.
@@ -134,15 +136,15 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, levels: int = 3, k
 
 def grade_documents(df: DataFrame, model: Model | None, levels: int = 3, wanted: int = 2, least: float = 0.5, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` with expected_grade, tail_probability (of ``wanted`` or better) and kept (that is at least ``least``)."""
-    source = df.select(*keep, F.col(text).alias("__text"))
+    source = with_text(df, keep, text)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "expected_grade double, tail_probability double, kept boolean"])
+    schema = ", ".join([*column_types(source.schema.fields[: len(keep)]), "expected_grade double, tail_probability double, kept boolean"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             out = []
-            for value in batch.column(batch.num_columns - 1):
+            for value in texts(batch, keep, text):
                 found = features(value.as_py() or "")
                 if not found:
                     out.append((0.0, 0.0, False))
@@ -152,6 +154,6 @@ def grade_documents(df: DataFrame, model: Model | None, levels: int = 3, wanted:
                     p = known.above(found)
                     out.append((float(p.sum()), float(p[wanted - 1]), bool(p[wanted - 1] >= least)))
             columns = [*zip(*out)] or [[], [], []]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, k) for c, k in zip(columns, (pa.float64(), pa.float64(), pa.bool_())))], [*batch.schema.names[:-1], "expected_grade", "tail_probability", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(c, k) for c, k in zip(columns, (pa.float64(), pa.float64(), pa.bool_())))], [*batch.schema.names[: len(keep)], "expected_grade", "tail_probability", "kept"])
 
     return source.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skytally.llm.common import remainder
+from skytally.llm.common import column_types, remainder, texts, with_text
 
 SLICE = 1 << 20
 #: The model and its training counts are held whole by each worker, so the number of languages is bounded.
@@ -125,16 +125,16 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 def predict(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` with lang_pred, score (posterior probability with equal priors) and bits_per_byte of the prediction."""
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    source = df.select(*keep, F.when(letters, F.col(text)).alias("__text"))
+    source = with_text(df, keep, text, letters.alias("__letters"))
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "lang_pred string, score double, bits_per_byte double"])
+    schema = ", ".join([*column_types(source.schema.fields[: len(keep)]), "lang_pred string, score double, bits_per_byte double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             langs, scores, rates = [], [], []
-            for value in batch.column(batch.num_columns - 1):
-                t = value.as_py() if known is not None else None
+            for value, some in zip(texts(batch, keep, text), batch.column(len(keep))):
+                t = value.as_py() if known is not None and some.as_py() else None
                 if t is None:
                     langs.append("und"), scores.append(0.0), rates.append(None)
                     continue
@@ -144,7 +144,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[
                 langs.append(known.langs[best])
                 scores.append(float(1 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum()))
                 rates.append(float(bits[best]) / len(code))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], [*batch.schema.names[: len(keep)], "lang_pred", "score", "bits_per_byte"])
 
     return source.mapInArrow(run, schema)
 
