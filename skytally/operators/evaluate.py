@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skytally.operators.observations import modal_minutes
-from skytally.operators.scale import exact_percentiles, running, top_rows
+from skytally.operators.scale import exact_percentiles, null_safe_join, running, top_rows
 
 
 def _pct(condition: Column) -> Column:
@@ -51,7 +51,7 @@ def error_report(
     if approximate or not probs:
         return base
     shares = exact_percentiles(df.select(*keys, a.alias("_a")), keys, "_a", probs, bin_width)
-    return base.join(shares, list(keys), "left")
+    return null_safe_join(base, shares, list(keys), "left")
 
 
 SHORT_PROBS = {"median_abs_error_f": 0.5, "p90_abs_error_f": 0.9}
@@ -145,7 +145,7 @@ def calibration(df: DataFrame, bin_width: float = 0.05) -> DataFrame:
     medians = exact_percentiles(stacked.select(*keys, "s.w", "s.x"), [*keys, "w"], "x", {"p": 0.5}, bin_width)
     middle = medians.groupBy(*keys).agg(
         F.max(F.when(F.col("w") == 0, F.col("p"))).alias("error_median_f"), F.max(F.when(F.col("w") == 1, F.col("p"))).alias("median_abs_error_f"))
-    around = df.join(middle, keys).select(*keys, F.abs(e - F.col("error_median_f")).alias("_d"))
+    around = null_safe_join(df, middle, keys).select(*keys, F.abs(e - F.col("error_median_f")).alias("_d"))
     spread = exact_percentiles(around, keys, "_d", {"_mad": 0.5}, bin_width)
-    out = base.join(middle, keys).join(spread, keys)
+    out = null_safe_join(null_safe_join(base, middle, keys), spread, keys)
     return out.withColumn("error_robust_sigma_f", F.col("_mad") * 1.4826).drop("_mad")

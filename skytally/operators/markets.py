@@ -184,26 +184,40 @@ def reachable(rows: DataFrame) -> DataFrame:
     return rows.filter(F.when(kind == "highest", hi_ok).when(kind == "lowest", lo_ok).otherwise(True))
 
 
-def _direction() -> Column:
-    return F.when(F.col("kind") == "Highest", 1).otherwise(-1)
+def _highest() -> Column:
+    return F.col("kind") == "Highest"
+
+
+def _edge() -> Column:
+    """Order of markets by comparable bounds, open ends at -9999 and 9999, then id (text ids order as text)."""
+    return F.struct(F.coalesce("lo", F.lit(-9999.0)).alias("lo"), F.coalesce("hi", F.lit(9999.0)).alias("hi"), F.col("market_id").alias("id"))
+
+
+def _outermost(pick: Column | str) -> Column:
+    """The last market of a Highest event, the first of a Lowest one."""
+    high = _highest()
+    return F.coalesce(F.max_by(pick, F.when(high, _edge())), F.min_by(pick, F.when(~high, _edge())))
+
+
+def _innermost(pick: Column | str) -> Column:
+    high = _highest()
+    return F.coalesce(F.min_by(pick, F.when(high, _edge())), F.max_by(pick, F.when(~high, _edge())))
 
 
 def ordered(markets: DataFrame) -> DataFrame:
-    """Open markets by comparable bounds (open ends at -9999 and 9999, then id), reversed for Lowest events,
-    with their position. Positions come from counted bands of the lower bound."""
-    s = _direction()
-    m = in_unit(markets.filter("NOT closed"))
-    m = m.withColumns({"_k1": s * F.coalesce("lo", F.lit(-9999.0)), "_k2": s * F.coalesce("hi", F.lit(9999.0)), "_k3": s * F.col("market_id")})
-    m = m.withColumn("_band", F.floor(F.col("_k1") / CELL).cast("long"))
-    out = running(m, ["event_id"], ["_band"], ["_k1", "_k2", "_k3"], {"position": ("count", F.lit(1))})
-    return out.drop("_k1", "_k2", "_k3", "_band")
+    """Open markets by comparable bounds, reversed for Lowest events, with their position. Positions come from counted
+    bands of the lower bound; reversed ones are counted from the end, so ids of any type keep their order."""
+    m = in_unit(markets.filter("NOT closed")).withColumn("_edge", _edge())
+    m = m.withColumns({"_k1": F.col("_edge.lo"), "_k2": F.col("_edge.hi"), "_band": F.floor(F.col("_edge.lo") / CELL).cast("long")}).drop("_edge")
+    out = running(m, ["event_id"], ["_band"], ["_k1", "_k2", "market_id"], {"position": ("count", F.lit(1))})
+    size = m.groupBy("event_id").agg(F.count("*").alias("_n"))
+    out = out.join(size, "event_id").withColumn("position", F.when(_highest(), F.col("position")).otherwise(F.col("_n") + 1 - F.col("position")))
+    return out.drop("_k1", "_k2", "_band", "_n")
 
 
 def outer_boundary(markets: DataFrame) -> DataFrame:
-    s = _direction()
-    m = in_unit(markets.filter("NOT closed")).withColumn("_s", s)
-    key = F.struct(F.col("_s") * F.coalesce("lo", F.lit(-9999.0)), F.col("_s") * F.coalesce("hi", F.lit(9999.0)), F.col("_s") * F.col("market_id"))
-    return m.groupBy("event_id", "kind").agg(F.max_by("market_id", key).alias("market_id"))
+    m = in_unit(markets.filter("NOT closed"))
+    return m.groupBy("event_id", "kind").agg(_outermost("market_id").alias("market_id"))
 
 
 def _miss(rows: DataFrame) -> DataFrame:
@@ -228,9 +242,8 @@ def nearest_no_market(rows: DataFrame) -> DataFrame:
     ahead = F.when(high, F.col("hi") - F.col("observed_high")).otherwise(F.col("observed_low") - F.col("lo"))
     gone = F.when(F.col("impossible"), F.struct("distance", "width", "market_id"))
     near = F.when(ahead >= 0, F.struct(ahead.alias("d"), "width", "market_id"))
-    edge = F.struct(_direction() * F.coalesce("lo", F.lit(-9999.0)), _direction() * F.coalesce("hi", F.lit(9999.0)), _direction() * F.col("market_id"))
     out = state.groupBy("event_id", "kind").agg(
-        F.min(gone).alias("a"), F.min(near).alias("b"), F.min_by("market_id", edge).alias("c"))
+        F.min(gone).alias("a"), F.min(near).alias("b"), _innermost("market_id").alias("c"))
     return out.select("event_id", "kind", F.coalesce("a.market_id", "b.market_id", "c").alias("market_id"))
 
 
@@ -259,11 +272,9 @@ def harvest_plan(rows: DataFrame, held: DataFrame, yes_cap: float = 0.99, no_cap
     ``held`` has market_id and side; prices are yes_price and no_price of the market."""
     flags = held.groupBy("market_id").agg(F.max(F.col("side") == "YES").alias("_hy"), F.max(F.col("side") == "NO").alias("_hn"))
     m = _miss(with_state(rows).filter("NOT closed")).join(flags, "market_id", "left").fillna(False, ["_hy", "_hn"])
-    s = _direction()
-    end = F.struct(s * F.coalesce("lo", F.lit(-9999.0)), s * F.coalesce("hi", F.lit(9999.0)), s * F.col("market_id"))
     pick = F.struct("market_id", "extreme_reached", "_hy", "yes_price")
     gone = F.when(F.col("impossible") & ~F.col("_hn"), F.struct("distance", "width", "market_id", "no_price"))
-    e = m.groupBy("event_id").agg(F.max_by(pick, end).alias("y"), F.min(gone).alias("n"))
+    e = m.groupBy("event_id").agg(_outermost(pick).alias("y"), F.min(gone).alias("n"))
     reached = F.col("y.extreme_reached")
     ok = lambda p, cap: (p > 0) & (p <= cap)
     yes = reached & ~F.col("y._hy") & F.coalesce(ok(F.col("y.yes_price"), yes_cap), F.lit(False))
@@ -283,7 +294,7 @@ def cheapest_no(markets: DataFrame, keep: int = 3, floor: float = 0.0) -> DataFr
     return best.groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("market_id").alias("id"), F.col("_p").alias("price")))).alias("no_list"))
 
 
-def pair_plan(pairs: DataFrame, quotes: DataFrame, held: DataFrame, yes_floor: float = 0.05, total_cap: float = 0.9, no_cap: float = 0.99) -> DataFrame:
+def pair_plan(pairs: DataFrame, quotes: DataFrame, held: DataFrame, yes_floor: float = 0.05, total_cap: float = 0.9, no_cap: float = 0.99, no_floor: float = 0.0) -> DataFrame:
     """What to do with an adjacent pair: both legs, one leg, a cheaper NO elsewhere, the missing leg, or skip.
 
     ``pairs``: pred_id, event_id, matches, lower_id, upper_id. ``quotes``: event_id, market_id, yes_price,
@@ -291,7 +302,7 @@ def pair_plan(pairs: DataFrame, quotes: DataFrame, held: DataFrame, yes_floor: f
     """
     y = quotes.select("market_id", "yes_price").join(held.select("market_id").distinct().withColumn("_h", F.lit(True)), "market_id", "left")
     leg = lambda p: y.select(F.col("market_id").alias(f"{p}_id"), F.round("yes_price", 2).alias(f"{p}_yes"), F.coalesce("_h", F.lit(False)).alias(f"{p}_held"))
-    rows = pairs.join(leg("lower"), "lower_id").join(leg("upper"), "upper_id").join(cheapest_no(quotes), "event_id", "left")
+    rows = pairs.join(leg("lower"), "lower_id").join(leg("upper"), "upper_id").join(cheapest_no(quotes, floor=no_floor), "event_id", "left")
     lo, up = F.col("lower_yes"), F.col("upper_yes")
     rows = rows.withColumn("pair_total", lo + up)
     other = F.get(F.filter("no_list", lambda s: (s["id"] != F.col("lower_id")) & (s["id"] != F.col("upper_id"))), F.lit(0))

@@ -166,6 +166,16 @@ def asof(
     return rows.withColumn("_hit", hit).select("_left.*", *[F.col(f"_hit.{v}").alias(f"asof_{v}") for v in values])
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join by keys of which null is one value among others."""
+    names = {k: f"_r_{k}" for k in keys}
+    right = right.withColumnsRenamed(names)
+    same = F.lit(True)
+    for k, n in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return left.join(right, same, how).drop(*names.values())
+
+
 def exact_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], width: float
 ) -> DataFrame:
@@ -190,7 +200,8 @@ def exact_percentiles(
     )
     targets = bins.select(*keys, "_bin", "_n", (F.col("_cum") - F.col("_c")).alias("_before"), inside.alias("_ranks"))
     targets = targets.filter(F.size("_ranks") > 0)
-    members = binned.groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_c")).join(targets, [*keys, "_bin"])
+    members = binned.groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_c"))
+    members = null_safe_join(members, targets, [*keys, "_bin"])
     in_bin = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     members = members.withColumn("_end", F.col("_before") + F.sum("_c").over(in_bin))
     hits = members.select(
