@@ -10,6 +10,7 @@ Other columns, whatever their names, are left out unless they are named in ``kee
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
@@ -274,14 +275,19 @@ _CODECS: dict[str, Codec] = {}
 
 @contextmanager
 def _codec(digest: str, vocabulary) -> Iterator[Codec]:
-    """One for each Python worker and vocabulary; its caches live as long as the task."""
+    """One for each Python worker and vocabulary; its caches live as long as the task.
+
+    Entries of the caches hold no cycles, so looking for some among them is left out meanwhile.
+    """
     if digest not in _CODECS:
         _CODECS.clear()
         _CODECS[digest] = Codec(vocabulary.value)
     codec = _CODECS[digest]
+    gc.disable()
     try:
         yield codec
     finally:
+        gc.enable()
         for kept in (codec.words, codec.chunks):
             kept.now, kept.old = {}, {}
 
