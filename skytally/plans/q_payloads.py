@@ -98,7 +98,7 @@ def par12(v):
     "SELECT seq, asset, 'last_price' AS field, price FROM ticks WHERE seq % 2 = 0 OR seq % 500 IN (17, 19) UNION ALL SELECT seq, concat(asset, 'd'), 'best_bid', price FROM ticks WHERE seq % 500 = 19",
 )
 def par12_deep(v):
-    """Plain messages, and among them some 6, 9 and 500 levels deep, one of them with prices on two levels."""
+    """Every other message is empty or 7 or 9 levels deep; a few are 501 or 502 deep, the latter with prices on two levels."""
     price, asset = F.col("price").cast("string"), F.col("asset")
     deep = lambda levels, inner: F.concat(F.lit('{"a":[' * (levels // 2)), inner, F.lit("]}" * (levels // 2)))
     one = F.format_string('{"asset":"%s","last_price":%s}', asset, price)
