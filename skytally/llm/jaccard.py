@@ -281,20 +281,39 @@ def agreeing(signed: DataFrame) -> DataFrame:
     return stage(enough(stage(met(enough(live)), "live")), "live")
 
 
-def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int, within: bool = False) -> DataFrame:
-    """Pairs (a, b) of ``nodes`` (sid, comp) in different components that can reach the similarity; ``within``: in one
-    component, each pair once, in a plan that runs only if it is used.
-
-    In one order of all elements, here from the rarest among these sets, similar sets share one of their first
-    n - ceil(n * percent / 100) + 1 elements; what many sets have in common comes last and makes no pairs. Of a pair's
-    common elements the first has all others behind it in both sets, so only elements with enough behind them count.
+def prefixes(nodes: DataFrame, sets: DataFrame, percent: int, within: bool = False) -> DataFrame:
+    """Rows (sid, comp, token, n, __at, central): the elements of each of ``nodes`` (sid, comp) that a similar set must share
+    one of, if others hold them.
+
+    In one order of all elements similar sets share one of their first n - ceil(n * percent / 100) + 1 elements. Between
+    components the order is by the number of components that hold an element: the elements that only copies in one
+    component share, however many, come first and make no pairs, a passage that many components quote comes last.
+    ``within`` components it is from the rarest element. ``central`` is the mean number of sets that hold an element of the
+    set: of many near copies of a text, that text or the least changed ones have the most.
     """
     token = nodes.join(sets, "sid").select("sid", "comp", F.size("tokens").alias("n"), F.explode_outer("tokens").alias("token"))
-    placed = token.join(token.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token")
-    order = F.row_number().over(W.partitionBy("sid").orderBy("df", "token"))
-    first = placed.withColumn("__at", order).where(F.col("__at") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1)
-    first = first.select("sid", "comp", "token", "n", "__at")
-    first = first if within else stage(first, "prefix")
+    held = F.count(F.lit(1))
+    counts = token.groupBy("token").agg(held.alias("held"), (held if within else F.countDistinct("comp")).alias("df"))
+    placed = token.join(counts, "token")
+    of_set = W.partitionBy("sid")
+    placed = placed.select("*", F.row_number().over(of_set.orderBy("df", "token")).alias("__at"), F.avg("held").over(of_set).alias("central"))
+    first = placed.where((F.col("__at") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1) & (F.col("df") > 1))
+    return first.select("sid", "comp", "token", "n", "__at", "central")
+
+
+def central_pairs(first: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each set of ``prefixes`` with the most central set of each of its elements, if in another component."""
+    centre = first.groupBy("token").agg(F.max_by(F.struct("sid", "comp"), F.struct("central", "sid")).alias("__centre"))
+    return first.join(centre, "token").where("comp != __centre.comp").select(F.col("sid").alias("a"), F.col("__centre.sid").alias("b"))
+
+
+def rare_pairs(first: DataFrame, percent: int, within: bool = False) -> DataFrame:
+    """Pairs (a, b) of ``prefixes`` in different components that can reach the similarity; ``within``: in one component,
+    each pair once.
+
+    Of a pair's common elements the first has all others behind it in both sets, so only elements with enough behind them
+    count.
+    """
     other = first.select("token", F.col("sid").alias("b"), F.col("comp").alias("__comp"), F.col("n").alias("__m"), F.col("__at").alias("__bt"))
     fits = F.least("n", "__m") * 100 >= F.greatest("n", "__m") * percent
     behind = (1 + F.least(F.col("n") - F.col("__at"), F.col("__m") - F.col("__bt"))) * (100 + percent) >= (F.col("n") + F.col("__m")) * percent
@@ -357,28 +376,33 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     tried = stage(fitting(probes.join(index, "sign").select("a", "b")), "tried")
     links, comps = verified(tried, sets, percent), None
     open_signs = normal.withColumn("comp", F.col("sid"))
-    for turn in range(ROUNDS + 1):
+    rare = None
+    for turn in range(ROUNDS + 2):
         if turn < ROUNDS:
             # One centre for each signature. First the same for as many as possible, then by chance.
             order = F.xxhash64(F.lit(turn), "sid", F.pmod("sign", F.lit(1 if turn == 0 else 4)))
             centre = open_signs.groupBy("sign").agg(F.min_by("sid", order).alias("b"), F.min_by("comp", order).alias("__comp"))
             found = open_signs.join(centre, "sign").where("comp != __comp").select(F.col("sid").alias("a"), "b")
+        elif turn == ROUNDS:
+            rare = stage(prefixes(open_signs.select("sid", "comp").distinct(), sets, percent), "prefix")
+            found = central_pairs(rare)
         else:
-            found = rare_pairs(open_signs.select("sid", "comp").distinct(), sets, percent)
+            # The order of the elements stays, the components are those of now.
+            now = rare.drop("comp").join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+            found = rare_pairs(now, percent)
         new = stage(fitting(found).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionAll(new)
         links = stage(links.unionAll(verified(new, sets, percent)), "links")
         comps = components(links, comps)
-        if turn == ROUNDS:
-            break
-        named = normal.join(comps, "sid", "left").select("sid", "sign", F.coalesce("comp", "sid").alias("comp"))
-        spans = named.groupBy("sign").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi")).where("__lo != __hi")
-        open_signs = stage(named.join(spans.select("sign"), "sign", "left_semi"), "open")
-        if not open_signs.limit(1).count():
-            break
+        if turn < ROUNDS:
+            named = normal.join(comps, "sid", "left").select("sid", "sign", F.coalesce("comp", "sid").alias("comp"))
+            spans = named.groupBy("sign").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi")).where("__lo != __hi")
+            open_signs = stage(named.join(spans.select("sign"), "sign", "left_semi"), "open")
+            if not open_signs.limit(1).count():
+                break
     # Every link is inside a component.
     copies = names.where("sid != 0").groupBy("sid").agg(F.count(F.lit(1)).alias("__copies"))
-    every = verified(rare_pairs(comps, sets, percent, within=True), sets, percent)
+    every = verified(rare_pairs(prefixes(comps, sets, percent, within=True), percent, within=True), sets, percent)
     ends = every.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("sid")), F.struct(F.col("b").alias("x"), F.col("a").alias("sid"))))).select("col.*")
     degree = ends.join(copies, "sid").groupBy(F.col("x").alias("sid")).agg(F.sum("__copies").alias("__others"))
     # From rows to sets to components, so that a hot set or component is summed before it is joined.

@@ -235,6 +235,37 @@ def test_jaccard(docs, empty):
     assert jaccard.similar(empty).count() == 0
 
 
+def test_jaccard_near_copies_make_few_pairs(spark, monkeypatch):
+    """Copies that are similar to their common text only, not to one another, and quote a passage that others quote too."""
+    rng, passage = np.random.default_rng(11), [f"p{i}" for i in range(12)]
+    texts = [" ".join([*passage, *(f"w{i}" for i in range(90))])]
+    for _ in range(150):
+        words = texts[0].split()
+        for at in rng.choice(90, 2, replace=False):
+            words[12 + at] = f"x{rng.integers(10**9)}"
+        texts.append(" ".join(words))
+    texts += [" ".join([*passage, *(f"o{k}_{i}" for i in range(60))]) for k in range(40)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    name = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and name[a] != name[b]:
+                low, high = sorted((name[a], name[b]))
+                name = [low if x == high else x for x in name]
+    counted, real = [], jaccard.stage
+
+    def stage(df, name):
+        out = real(df, name)
+        if name == "pairs":
+            counted.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stage", stage)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    same(jaccard.similar(rows), [(i, len(sets[i]), name[i]) for i in range(len(texts))], "doc_id", "n_shingles", "component_id")
+    assert sum(counted) < 12 * len(texts)
+
+
 def test_jaccard_counts_every_link(spark, docs):
     near = [(100 + k, " ".join(f"n{i}" for i in range(160) if i != 7 * k % 60) + f" end{k % 9}") for k in range(14)]
     near += [(200 + k, f"s{k} " + " ".join(f"r{i}" for i in range(30 + k))) for k in range(8)]
