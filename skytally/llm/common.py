@@ -22,11 +22,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage: a lost executor costs no more than the branch that reads the table.
     """
+    return stage_at(df, name)[0]
+
+
+def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``stage``, with the table's path, for ``discard``."""
     from skytally import session
 
     path = f"{session.checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a staged table. Only for those whose last reader has been written to a table itself."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skytally.llm.common import stage
+from skytally.llm.common import discard, stage, stage_at
 
 #: Up to this size bands index deletions; how much larger than the least number of segments larger bands are cut.
 SMALL, SLACK = 64, 1.25
@@ -277,8 +277,12 @@ def agreeing(signed: DataFrame) -> DataFrame:
         few = rows.where(f"{KIND} = {NORMAL}").groupBy("sid", "tag").agg(F.count(F.lit(1)).alias("__n")).where(f"__n < {LEAST}")
         return rows.join(few.select("sid", "tag"), ["sid", "tag"], "left_anti")
 
-    live = stage(met(signed).distinct(), "live")
-    return stage(enough(stage(met(enough(live)), "live")), "live")
+    once, first = stage_at(met(signed).distinct(), "live")
+    again, second = stage_at(met(enough(once)), "live")
+    live = stage(enough(again), "live")
+    discard(signed.sparkSession, first)
+    discard(signed.sparkSession, second)
+    return live
 
 
 def prefixes(nodes: DataFrame, sets: DataFrame, percent: int, within: bool = False) -> DataFrame:
@@ -356,10 +360,12 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     counted only if n_links is used.
     """
     scheme = Scheme(percent)
-    told = stage(describe(df, key, text, n, scheme), "told")
-    names = told.drop("parts")
+    told, path = stage_at(describe(df, key, text, n, scheme), "told")
+    names = stage(told.drop("parts"), "names")
     signed = told.select("sid", F.explode("parts").alias("__part")).select("sid", F.explode("__part.signs").alias("sign"), F.col("__part.tag").alias("tag"))
     live = agreeing(signed).select("sid", "sign", F.expr(KIND).alias("kind")).distinct()
+    # The signatures are most of the disk that is used; nothing reads them any more.
+    discard(df.sparkSession, path)
     normal, empty = live.where(F.col("kind") == NORMAL), live.where(F.col("kind") != NORMAL)
     wanted = live.select("sid").distinct()
     sets = stage(sets_of(df, key, text, n, names, wanted), "sets")
