@@ -45,7 +45,8 @@ def containing(values: DataFrame, markets: DataFrame, value: str = "value", pad:
     cells = m.filter("lo IS NULL OR hi IS NULL OR lo <= hi").withColumn("_cell", F.explode(F.sequence(first, last)))
     v = values.withColumn("_cell", _cell(F.col(value)))
     hit = contains(F.col(value), F.col("lo") - pad, F.col("hi") + pad)
-    return v.join(cells, ["event_id", "_cell"]).filter(hit).drop("_cell")
+    # Spark takes the cells for as small as the markets, so left to itself it would send all of them through the driver.
+    return v.join(cells.hint("merge"), ["event_id", "_cell"]).filter(hit).drop("_cell")
 
 
 def unique_market(values: DataFrame, markets: DataFrame, key: str = "pred_id", value: str = "value") -> DataFrame:
