@@ -210,7 +210,7 @@ _LOF = "(CASE WHEN unit = 'C' THEN rule_min * 9.0e0 / 5.0e0 + 32.0e0 ELSE rule_m
 )
 def mkt4(v):
     hits = M.containing(v.preds.drop("unit"), v.markets).select("pred_id", "station", "month", "local_hour", "predicted_f", "market_id")
-    rows = hits.join(v.markets.select("market_id", "rule_min", "rule_max", "unit"), "market_id")
+    rows = hits.join(v.markets.select("market_id", "rule_min", "rule_max", "unit").hint("merge"), "market_id")
     return M.with_interval_confidence(rows, v.calib).select("pred_id", "market_id", tidy(F.col("regressor_probability")).alias("regressor_probability"))
 
 
