@@ -1,17 +1,20 @@
 """Keyed stateful jobs that fold rows in event-time order, whatever the triggers.
 
-Rows wait in state until the watermark has passed them. A timer then wakes the key, its ready rows are sorted by
+Rows wait in state until the watermark has passed them. A timer then wakes them, the ready rows of a key are sorted by
 (us, rank, seq) and folded, and the answer is the same for one large trigger and for many small ones, with rows out of
 order inside the watermark's delay too. Rows older than the watermark when they arrive are not dropped: they come out
 with ``late`` set, next to the results, so emitted and late rows are all rows (``on_time``, ``late_rows``).
 
-State per key: the rows of one delay, and what each fold needs. A key that is quiet for ``quiet`` loses its state by a
-timer. Needs the RocksDB state store (``stateful.use_rocksdb``) and a watermark on the stream; the column that carries
-it is left out before the state, so that late rows reach it.
+Keys share state by buckets of their hash, so that a key costs no calls to the state store, each a round trip: a bucket has
+one timer, keeps its rows of one delay in chunks, and what each fold needs of its keys in one value, written again when
+rows of the bucket come out. A key that is quiet for ``quiet`` loses its part of it by the timer. Needs the RocksDB state
+store (``stateful.use_rocksdb``) and a watermark on the stream; the column that carries it is left out before the state,
+so that late rows reach it.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,95 +24,128 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 MS = 1000
 #: Event time at which a key without an own end of life is woken.
 NEVER = None
+#: Buckets of keys. It is part of a checkpoint: a stream goes on with the number it was started with.
+BUCKETS = 256
+#: Rows of a chunk that goes on waiting.
+CHUNK = 50_000
+BUCKET = "_bucket"
 
 
 _KINDS = {"long": int, "int": int, "double": float, "boolean": bool, "string": str}
 
 
-def _plain(df: pd.DataFrame, types: str) -> list[tuple]:
-    """Rows as tuples of plain values of the given types, with None for what is missing."""
-    makes = [_KINDS[t.split()[1]] for t in types.split(", ")]
-    columns = [[make(x) if ok else None for x, ok in zip(df.iloc[:, n], df.iloc[:, n].notna())] for n, make in enumerate(makes)]
-    return list(zip(*columns))
+def _values(column: pd.Series, kind: str) -> list:
+    """Plain values of the given type, with None for what is missing; values of other types as they come."""
+    make = _KINDS.get(kind, lambda x: x)
+    if column.dtype.kind == {int: "i", float: "f", bool: "b"}.get(make) and not column.hasnans:
+        return column.tolist()
+    return [make(x) if ok else None for x, ok in zip(column, column.notna())]
 
 
 class Ordered(StatefulProcessor):
     """Base of the folds. ``fields``: further columns of a row with their types; us, rank and seq come first."""
 
     fields: dict[str, str] = {}
-    keys: list[str] = []
+    keys: dict[str, str] = {}
     result: dict[str, str] = {}
 
     def __init__(self, quiet: int | None = NEVER):
         self.quiet = quiet
 
-    @classmethod
-    def row_type(cls) -> str:
-        return ", ".join(f"{n} {t}" for n, t in {"us": "long", "rank": "int", "seq": "long", **cls.fields}.items())
-
     @classmethod
     def schema(cls, key_types: dict[str, str]) -> str:
         return ", ".join(f"{n} {t}" for n, t in {**key_types, "us": "long", "seq": "long", **cls.result, "late": "boolean"}.items())
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.columns = ["us", "rank", "seq", *self.fields]
-        self.pending = handle.getListState("pending", self.row_type())
-        self.newest = handle.getValueState("newest", "us long")
-        self.open(handle)
-
-    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.columns = {**self.keys, "us": "long", "rank": "int", "seq": "long", **self.fields}
+        self.pending = handle.getListState("pending", "chunk binary")
+        self.memory = handle.getValueState("memory", "states binary")
+        self.wake = handle.getValueState("wake", "ms long")
+
+    def fold(self, state, rows: list[tuple]) -> tuple[object, list[tuple]]:
+        """The state after one key's rows (us, rank, seq, fields) in order, and results (us, seq, and the result columns).
+        ``state`` is None for a key without one."""
         raise NotImplementedError
 
-    def fold(self, rows: pd.DataFrame) -> pd.DataFrame:
-        """Results (us, seq, and the result columns) of rows in order, from the state so far."""
-        raise NotImplementedError
+    def _out(self, df: pd.DataFrame, late: bool) -> pd.DataFrame:
+        return df.reindex(columns=[*self.keys, "us", "seq", *self.result]).assign(late=late)
 
-    def forget(self) -> None:
-        """Drop the state of a quiet key."""
-        raise NotImplementedError
+    def _keep(self, df: pd.DataFrame) -> None:
+        for start in range(0, len(df), CHUNK):
+            part = df.iloc[start : start + CHUNK]
+            self.pending.appendValue((pickle.dumps({c: part[c].to_numpy() for c in part}, pickle.HIGHEST_PROTOCOL),))
 
-    def _out(self, key, df: pd.DataFrame, late: bool) -> pd.DataFrame:
-        out = df.reindex(columns=["us", "seq", *self.result]) if not late else df[["us", "seq"]].reindex(columns=["us", "seq", *self.result])
-        for n, (name, value) in enumerate(zip(self.keys, key)):
-            out.insert(n, name, value)
-        return out.assign(late=late)
+    def _wake_at(self, ms: int, was: tuple | None) -> None:
+        if was is None or ms < was[0]:
+            if was is not None:
+                self.handle.deleteTimer(was[0])
+            self.handle.registerTimer(ms)
+            self.wake.update((ms,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        new = pd.concat(list(rows))[self.columns]
-        new = new[new["us"].notna()]
-        late = new["us"] // MS < passed
-        if late.any():
-            yield self._out(key, new[late], True)
-        new = new[~late]
-        if len(new):
-            self.pending.appendList(_plain(new, self.row_type()))
-            self.handle.registerTimer(int(new["us"].min()) // MS + 1)
+        first = None
+        for new in rows:
+            new = new.loc[new["us"].notna(), list(self.columns)]
+            late = new["us"] // MS < passed
+            if late.any():
+                yield self._out(new.loc[late, [*self.keys, "us", "seq"]], True)
+                new = new[~late]
+            if len(new):
+                self._keep(new)
+                least = int(new["us"].min())
+                first = least if first is None else min(first, least)
+        if first is not None:
+            self._wake_at(first // MS + 1, self.wake.get())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = pd.DataFrame(list(self.pending.get()) if self.pending.exists() else [], columns=self.columns)
+        kept = self.memory.get()
+        states = pickle.loads(kept[0]) if kept else {}
+        chunks = [pd.DataFrame(pickle.loads(c[0])) for c in self.pending.get()] if self.pending.exists() else []
+        rows = pd.concat(chunks, ignore_index=True) if chunks else pd.DataFrame(columns=list(self.columns))
         now = rows["us"].astype("int64") // MS < passed
         ready, rest = rows[now], rows[~now]
-        if len(ready):
-            self.newest.update((int(ready["us"].max()),))
-            if len(rest):
-                self.pending.put(_plain(rest, self.row_type()))
-            else:
-                self.pending.clear()
-            out = self.fold(ready.sort_values(["us", "rank", "seq"]).reset_index(drop=True))
-            if len(out):
-                yield self._out(key, out, False)
+        ends, waiting = [], set()
         if len(rest):
-            self.handle.registerTimer(int(rest["us"].min()) // MS + 1)
-        elif self.quiet is not None and self.newest.exists():
-            end = (self.newest.get()[0] + self.quiet) // MS + 1
-            if end <= passed:
-                self.newest.clear()
-                self.forget()
-            else:
-                self.handle.registerTimer(end)
+            ends.append(int(rest["us"].min()) // MS + 1)
+            waiting = set(self._tuples(rest, self.keys))
+        if len(ready):
+            self.pending.clear()
+            self._keep(rest)
+            out = self._fold_all(states, ready.sort_values(["us", "rank", "seq"], kind="stable"))
+            if out:
+                yield self._out(pd.DataFrame(out, columns=[*self.keys, "us", "seq", *self.result]), False)
+        held = len(states)
+        if self.quiet is not None:
+            end_of = {k: (newest + self.quiet) // MS + 1 for k, (newest, _) in states.items() if k not in waiting}
+            states = {k: s for k, s in states.items() if end_of.get(k, passed + 1) > passed}
+            ends += [end for end in end_of.values() if end > passed]
+        if not states:
+            if held and kept:
+                self.memory.clear()
+        elif len(ready) or len(states) < held:
+            self.memory.update((pickle.dumps(states, pickle.HIGHEST_PROTOCOL),))
+        if ends:
+            self._wake_at(min(ends), None)
+        else:
+            self.wake.clear()
+
+    def _tuples(self, df: pd.DataFrame, columns: dict[str, str]) -> Iterator[tuple]:
+        return zip(*[_values(df[c], t) for c, t in columns.items()])
+
+    def _fold_all(self, states: dict, ready: pd.DataFrame) -> list[tuple]:
+        """Results of every key's ready rows, with their keys; ``states`` has the newest time and the state by key."""
+        of_key, out = {}, []
+        rest = {c: t for c, t in self.columns.items() if c not in self.keys}
+        for k, row in zip(self._tuples(ready, self.keys), self._tuples(ready, rest)):
+            of_key.setdefault(k, []).append(row)
+        for k, rows in of_key.items():
+            state, made = self.fold(states[k][1] if k in states else None, rows)
+            states[k] = (rows[-1][0], state)
+            out += [(*k, *r) for r in made]
+        return out
 
     def close(self) -> None:
         pass
@@ -124,52 +160,38 @@ class BookMessages(Ordered):
     fields = {"kind": "string", "side": "string", "price": "double", "size": "double", "best_bid": "double", "best_ask": "double"}
     result = {"bid": "double", "ask": "double", "levels": "int"}
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.book = handle.getMapState("book", "side string, price double", "size double")
-        self.top = handle.getValueState("top", "bid double, ask double")
-
-    def forget(self) -> None:
-        self.book.clear()
-        self.top.clear()
-
-    def fold(self, rows: pd.DataFrame) -> pd.DataFrame:
-        was = {k: v[0] for k, v in self.book.iterator()}
-        book = dict(was)
-        best = dict(zip(("bid", "ask"), self.top.get() if self.top.exists() else (None, None)))
-        out = []
-        for (us, seq), message in rows.groupby(["us", "seq"], sort=False):
-            kinds = set(message["kind"])
+    def fold(self, state, rows: list[tuple]) -> tuple[object, list[tuple]]:
+        book, bid, ask = state or ({}, None, None)
+        messages, out = {}, []
+        for us, _, seq, *row in rows:
+            if seq is not None:
+                messages.setdefault((us, seq), []).append(row)
+        for (us, seq), message in messages.items():
+            kinds = {m[0] for m in message}
             if "book" in kinds:
                 book.clear()
-            for r in message[message["side"].notna()].itertuples(index=False):
-                if r.size > 0:
-                    book[r.side, r.price] = r.size
-                else:
-                    book.pop((r.side, r.price), None)
-            for side, pick in (("bid", max), ("ask", min)):
-                prices = [p for s, p in book if s == side] if kinds & {"book", "change"} else []
-                if prices:
-                    best[side] = pick(prices)
-                elif "book" in kinds:
-                    best[side] = None
-                quoted = message[f"best_{side}"].dropna()
-                if len(quoted):
-                    best[side] = float(quoted.iloc[-1])
-            out.append((us, seq, best["bid"], best["ask"], len(book)))
-        for k in was.keys() - book.keys():
-            self.book.removeKey(k)
-        for k, size in book.items():
-            if was.get(k) != size:
-                self.book.updateValue(k, (float(size),))
-        self.top.update((best["bid"], best["ask"]))
-        return pd.DataFrame(out, columns=["us", "seq", *self.result])
+            for _, side, price, size, _, _ in message:
+                price = float("nan") if price is None else price
+                if side is not None:
+                    if size is not None and size > 0:
+                        book[side, price] = size
+                    else:
+                        book.pop((side, price), None)
+            if "book" in kinds or "change" in kinds:
+                bids, asks = [p for s, p in book if s == "bid"], [p for s, p in book if s == "ask"]
+                bid = max(bids) if bids else None if "book" in kinds else bid
+                ask = min(asks) if asks else None if "book" in kinds else ask
+            for *_, best_bid, best_ask in message:
+                bid = bid if best_bid is None else best_bid
+                ask = ask if best_ask is None else best_ask
+            out.append((us, seq, bid, ask, len(book)))
+        return (book, bid, ask), out
 
 
 class TradeFlow(Ordered):
     """Price minus its trailing means over (t - look, t], and taker quantities over [t - flow, t], per print."""
 
     fields = {"price": "double", "qty": "double", "buyer_maker": "boolean"}
-    history = "us long, price double, buy double, sell double"
 
     def __init__(self, looks: dict[str, int], flow: int):
         self.looks, self.flow = looks, flow
@@ -179,18 +201,12 @@ class TradeFlow(Ordered):
     def schema(self, key_types: dict[str, str]) -> str:
         return ", ".join(f"{n} {t}" for n, t in {**key_types, "us": "long", "seq": "long", **self.result, "late": "boolean"}.items())
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.buffer = handle.getListState("buffer", self.history)
-
-    def forget(self) -> None:
-        self.buffer.clear()
-
-    def fold(self, rows: pd.DataFrame) -> pd.DataFrame:
-        old = pd.DataFrame(list(self.buffer.get()) if self.buffer.exists() else [], columns=["us", "price", "buy", "sell"], dtype="float64")
+    def fold(self, state, rows: list[tuple]) -> tuple[object, list[tuple]]:
+        rows = pd.DataFrame(rows, columns=["us", "rank", "seq", *self.fields])
         # A print without a maker side is neither a buy nor a sell.
         maker, qty = rows["buyer_maker"], rows["qty"].astype("float64").fillna(0.0)
         new = pd.DataFrame({"us": rows["us"], "price": rows["price"].astype("float64"), "buy": qty.where(maker.eq(False), 0.0), "sell": qty.where(maker.eq(True), 0.0)})
-        both = pd.concat([old.astype({"us": "int64"}), new], ignore_index=True) if len(old) else new
+        both = new if state is None else pd.concat([pd.DataFrame(state), new], ignore_index=True)
         us = both["us"].to_numpy("int64")
         sums = {c: pd.concat([pd.Series([0.0]), both[c].fillna(0.0).cumsum()]).to_numpy() for c in ("price", "buy", "sell")}
         sums["n"] = pd.concat([pd.Series([0]), both["price"].notna().cumsum()]).to_numpy()
@@ -202,8 +218,8 @@ class TradeFlow(Ordered):
             out[f"delta_{name}"] = new["price"] - (sums["price"][end] - sums["price"][start]) / (sums["n"][end] - sums["n"][start])
         start = us.searchsorted(at - self.flow, "left")
         out["taker_buy_qty"], out["taker_sell_qty"] = sums["buy"][end] - sums["buy"][start], sums["sell"][end] - sums["sell"][start]
-        self.buffer.put(_plain(both[us >= us[-1] - self.quiet], self.history))
-        return out
+        seen = both[us >= us[-1] - self.quiet]
+        return {c: seen[c].to_numpy() for c in seen}, list(out.itertuples(index=False, name=None))
 
 
 class OrderFills(Ordered):
@@ -212,20 +228,15 @@ class OrderFills(Ordered):
     fields = {"cum_shares": "double", "cum_cents": "long"}
     result = {"delta_shares": "double", "delta_cents": "long"}
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.total = handle.getValueState("total", "shares double, cents long")
-
-    def forget(self) -> None:
-        self.total.clear()
-
-    def fold(self, rows: pd.DataFrame) -> pd.DataFrame:
-        shares, cents = self.total.get() if self.total.exists() else (0.0, 0)
-        out = rows[["us", "seq"]].copy()
-        for name, value, before in (("delta_shares", rows["cum_shares"].astype("float64").fillna(0.0), shares), ("delta_cents", rows["cum_cents"].astype("float64").fillna(0).astype("int64"), cents)):
-            most = value.cummax().clip(lower=before)
-            out[name] = most - most.shift(fill_value=before)
-        self.total.update((float(max(shares, rows["cum_shares"].max())), int(max(cents, rows["cum_cents"].max()))))
-        return out[(out["delta_shares"] > 1e-9) | (out["delta_cents"] > 0)]
+    def fold(self, state, rows: list[tuple]) -> tuple[object, list[tuple]]:
+        shares, cents = state or (0.0, 0)
+        out = []
+        for us, _, seq, cum_shares, cum_cents in rows:
+            most_shares, most_cents = max(shares, cum_shares or 0.0), max(cents, cum_cents or 0)
+            if most_shares - shares > 1e-9 or most_cents > cents:
+                out.append((us, seq, most_shares - shares, most_cents - cents))
+            shares, cents = most_shares, most_cents
+        return (shares, cents), out
 
 
 class WindowCapture(Ordered):
@@ -239,34 +250,18 @@ class WindowCapture(Ordered):
         super().__init__(quiet)
         self.length = length
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last", "field string", "price double")
-        self.open_windows = handle.getListState("windows", "expected_epoch long")
-
-    def forget(self) -> None:
-        self.last.clear()
-        self.open_windows.clear()
-
-    def fold(self, rows: pd.DataFrame) -> pd.DataFrame:
-        was = {k[0]: v[0] for k, v in self.last.iterator()}
-        last, windows = dict(was), [w[0] for w in self.open_windows.get()] if self.open_windows.exists() else []
+    def fold(self, state, rows: list[tuple]) -> tuple[object, list[tuple]]:
+        last, windows = state or ({}, [])
         out = []
-        for r in rows.itertuples(index=False):
-            if r.rank == 0:
-                windows.append(int(r.expected_epoch))
-                out += [(r.us, -1, f, windows[-1], "baseline", p) for f, p in last.items()]
+        for us, rank, seq, field, price, expected_epoch in rows:
+            if rank == 0:
+                windows.append(expected_epoch)
+                out += [(us, -1, f, expected_epoch, "baseline", p) for f, p in last.items()]
                 continue
-            windows = [w for w in windows if r.us < (w + self.length) * 1_000_000]
-            out += [(r.us, r.seq, r.field, w, "tick", r.price) for w in windows]
-            last[r.field] = float(r.price)
-        for f, p in last.items():
-            if was.get(f) != p:
-                self.last.updateValue((f,), (p,))
-        if windows:
-            self.open_windows.put([(w,) for w in windows])
-        else:
-            self.open_windows.clear()
-        return pd.DataFrame(out, columns=["us", "seq", *self.result])
+            windows = [w for w in windows if us < (w + self.length) * 1_000_000]
+            out += [(us, seq, field, w, "tick", price) for w in windows]
+            last[field] = price
+        return (last, windows), out
 
 
 class DayExtremes(StatefulProcessor):
@@ -326,14 +321,15 @@ def timed(stream: DataFrame, time: str, delay: str) -> DataFrame:
     return stream.withWatermark(time, delay).filter(F.col("seq").isNotNull() | F.col(time).isNull())
 
 
-def ordered(stream: DataFrame, time: str, delay: str, keys: dict[str, str], processor: Ordered) -> DataFrame:
-    """Fold a stream by key in event-time order. ``keys``: key columns with their types."""
-    columns = [*keys, "us", *([] if "rank" in stream.columns else []), "seq", *processor.fields]
+def ordered(stream: DataFrame, time: str, delay: str, keys: dict[str, str], processor: Ordered, buckets: int = BUCKETS) -> DataFrame:
+    """Fold a stream by key in event-time order. ``keys``: key columns with their types. More ``buckets`` make smaller
+    pieces of state, each with its rows of one delay in one task."""
+    columns = [*keys, "us", "seq", *processor.fields]
     marked = timed(stream, time, delay)
     rank = F.col("rank") if "rank" in stream.columns else F.lit(0)
-    processor.keys = list(keys)
-    rows = marked.select(*[c for c in columns], rank.cast("int").alias("rank"))
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, processor.schema(keys), "append", "eventTime")
+    processor.keys = dict(keys)
+    rows = marked.select(*columns, rank.cast("int").alias("rank"), F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias(BUCKET))
+    return rows.groupBy(BUCKET).transformWithStateInPandas(processor, processor.schema(keys), "append", "eventTime")
 
 
 def day_extremes(obs: DataFrame, time: str, delay: str, processor: DayExtremes | None = None) -> DataFrame:
