@@ -1,5 +1,7 @@
 """Folds of many keys and many messages: no state of its own for each key, no table operation for each message."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from skytally.operators import ticks as T
@@ -23,3 +25,16 @@ def test_orders_share_state(spark, tmp_path):
     run(spark.range(1).selectExpr("-1L AS k", "3L AS n", f"{100_000 * T.SECOND}L AS us"))
     got = O.on_time(spark.read.parquet(f"{tmp_path}/out")).groupBy("seq").agg(F.count("*"), F.sum("delta_shares")).orderBy("seq").collect()
     assert [tuple(r) for r in got] == [(1, 3000, 3000.0 + sum(k % 7 for k in range(3000))), (2, 3000, 3000.0)]
+
+
+def test_many_messages_fold_fast():
+    rows = [(n, 0, n, "change", "bid" if n % 2 else "ask", (n % 40) / 40.0, float(n % 3), None, None) for n in range(60_000)]
+    at = time.process_time()
+    state, out = O.BookMessages().fold(None, rows)
+    assert time.process_time() - at < 10
+    book = {}
+    for _, _, seq, _, side, price, size, *_ in rows[:200]:
+        book.pop((side, price), None)
+        book.update({(side, price): size} if size else {})
+        assert out[seq][4] == len(book)
+    assert len(out) == 60_000 and len(state[0]) == out[-1][4]
