@@ -38,3 +38,13 @@ def test_many_messages_fold_fast():
         book.update({(side, price): size} if size else {})
         assert out[seq][4] == len(book)
     assert len(out) == 60_000 and len(state[0]) == out[-1][4]
+
+
+def test_many_windows_fold_fast():
+    second = T.SECOND
+    rows = [(n * second, 0, -1, None, None, n) if n % 600 == 0 else (n * second, 1, n, f"f{n % 3}", n / 10.0, None) for n in range(60_000)]
+    at = time.process_time()
+    _, out = O.WindowCapture(300).fold(None, rows)
+    assert time.process_time() - at < 10
+    assert sum(r[4] == "tick" for r in out) == 100 * 299
+    assert sorted(r for r in out if r[4] == "baseline" and r[3] == 600) == [(600 * second, -1, f"f{k}", 600, "baseline", (597 + k) / 10.0) for k in range(3)]
