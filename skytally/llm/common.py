@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Shuffle files go once their query has ended, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder that the session names and read it back.
 
-    Cuts the lineage: a lost executor costs no more than the branch that reads the table.
+    Cuts the lineage: a lost executor costs no more than the branch that reads the table. The shuffle files of the write
+    go with its end.
     """
     return stage_at(df, name)[0]
 
@@ -29,9 +32,15 @@ def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``stage``, with the table's path, for ``discard``."""
     from skytally import session
 
-    path = f"{session.checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    spark = df.sparkSession
+    path = f"{session.checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def discard(spark: SparkSession, path: str) -> None:

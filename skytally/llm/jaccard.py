@@ -38,6 +38,10 @@ from skytally.llm.common import discard, stage, stage_at
 #: Up to this size bands index deletions; how much larger than the least number of segments larger bands are cut.
 SMALL, SLACK = 64, 1.25
 ROUNDS = 2
+#: Signatures meet in so many turns, by their highest bits (a power of two): the disk holds the shuffle of one of them.
+TURN_BITS = 3
+TURNS = 2**TURN_BITS
+PARTS = [f"parts_{turn}" for turn in range(TURNS)]
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -204,7 +208,8 @@ def _row(key: str, text: str) -> Column:
 
 
 def describe(df: DataFrame, key: str, text: str, n: int, scheme: Scheme) -> DataFrame:
-    """Per row: key, row (its number), sid (0 for the empty set), n_shingles, parts (tag, signs) of its signatures.
+    """Per row: key, row (its number), sid (0 for the empty set), n_shingles, and for each turn parts (tag, signs) of its
+    signatures.
 
     Equal sets of one task are signed once; ``tag`` packs the kind, way and least of ``signatures``.
     """
@@ -216,12 +221,18 @@ def describe(df: DataFrame, key: str, text: str, n: int, scheme: Scheme) -> Data
         def full():
             parts = [part for row in rows for part in row[2]]
             ends = pa.array(np.cumsum([0, *(len(row[2]) for row in rows)]), pa.int32())
-            signs = np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in parts)]).view(np.int64)
+            signs = np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in parts)])
+            of_part = np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts])
+            turns = signs >> np.uint64(64 - TURN_BITS)
             tags = pa.array([kind + 3 * (way + 16 * least) for _, kind, way, least in parts], pa.int32())
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x[0]) for x in parts)]), pa.int32()), pa.array(signs))
-            told = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([tags, lists], ["tag", "signs"]))
-            made = [*(c.slice(at, len(rows)) for c in columns), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), told]
-            return pa.RecordBatch.from_arrays(made, ["key", "row", "sid", "n_shingles", "parts"])
+            told = []
+            for turn in range(TURNS):
+                now = turns == turn
+                bounds = np.concatenate([[0], np.cumsum(np.bincount(of_part[now], minlength=len(parts)))])
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(signs[now].view(np.int64)))
+                told.append(pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([tags, lists], ["tag", "signs"])))
+            made = [*(c.slice(at, len(rows)) for c in columns), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), *told]
+            return pa.RecordBatch.from_arrays(made, ["key", "row", "sid", "n_shingles", *PARTS])
 
         for x in sets:
             sid = set_id(x)
@@ -236,7 +247,7 @@ def describe(df: DataFrame, key: str, text: str, n: int, scheme: Scheme) -> Data
             yield full()
 
     kind = df.schema[key].dataType.simpleString()
-    schema = f"key {kind}, row long, sid long, n_shingles long, parts array<struct<tag: int, signs: array<long>>>"
+    schema = f"key {kind}, row long, sid long, n_shingles long, " + ", ".join(f"{p} array<struct<tag: int, signs: array<long>>>" for p in PARTS)
     return _map_sets(df.select(F.col(key).alias("key"), _row(key, text), F.col(text)), n, schema, make)
 
 
@@ -260,12 +271,13 @@ def sets_of(df: DataFrame, key: str, text: str, n: int, names: DataFrame, wanted
 KIND, WAY, LEAST = "tag % 3", "tag div 3 % 16", "tag div 48"
 
 
-def agreeing(signed: DataFrame) -> DataFrame:
-    """Rows of ``signed`` (sid, sign, tag) that may join similar sets: signatures of two sets or more, one of them in its
-    own band (of empty subsets, with a probe too), of sets that have enough of them in one band. What is out can take
-    others with it, so the test is made twice.
+def agreeing(told: DataFrame) -> DataFrame:
+    """Rows (sid, sign, tag) of the signatures in ``told`` that may join similar sets: signatures of two sets or more, one
+    of them in its own band (of empty subsets, with a probe too), of sets that have enough of them in one band. What is
+    out can take others with it, so the test is made twice.
 
-    The window's frame is the whole group, which Spark spills; rows are 20 bytes.
+    Most signatures are of one set alone and end in the first test, which is made in turns: each reads its own column and
+    gives back its shuffle before the next. The window's frame is the whole group, which Spark spills; rows are 20 bytes.
     """
     group = W.partitionBy("sign")
 
@@ -277,11 +289,17 @@ def agreeing(signed: DataFrame) -> DataFrame:
         few = rows.where(f"{KIND} = {NORMAL}").groupBy("sid", "tag").agg(F.count(F.lit(1)).alias("__n")).where(f"__n < {LEAST}")
         return rows.join(few.select("sid", "tag"), ["sid", "tag"], "left_anti")
 
-    once, first = stage_at(met(signed).distinct(), "live")
+    def signed(parts: str) -> DataFrame:
+        return told.select("sid", F.explode(parts).alias("__part")).select("sid", F.explode("__part.signs").alias("sign"), F.col("__part.tag").alias("tag"))
+
+    spark = told.sparkSession
+    first = [stage_at(met(signed(parts)).distinct(), "live") for parts in PARTS]
+    paths = [path for _, path in first]
+    once = spark.read.schema(first[0][0].schema).parquet(*paths)
     again, second = stage_at(met(enough(once)), "live")
     live = stage(enough(again), "live")
-    discard(signed.sparkSession, first)
-    discard(signed.sparkSession, second)
+    for path in (*paths, second):
+        discard(spark, path)
     return live
 
 
@@ -361,9 +379,8 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     """
     scheme = Scheme(percent)
     told, path = stage_at(describe(df, key, text, n, scheme), "told")
-    names = stage(told.drop("parts"), "names")
-    signed = told.select("sid", F.explode("parts").alias("__part")).select("sid", F.explode("__part.signs").alias("sign"), F.col("__part.tag").alias("tag"))
-    live = agreeing(signed).select("sid", "sign", F.expr(KIND).alias("kind")).distinct()
+    names = stage(told.drop(*PARTS), "names")
+    live = agreeing(told).select("sid", "sign", F.expr(KIND).alias("kind")).distinct()
     # The signatures are most of the disk that is used; nothing reads them any more.
     discard(df.sparkSession, path)
     normal, empty = live.where(F.col("kind") == NORMAL), live.where(F.col("kind") != NORMAL)
@@ -371,9 +388,16 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     sets = stage(sets_of(df, key, text, n, names, wanted), "sets")
     size = sets.select("sid", F.size("tokens").alias("n"))
 
-    def fitting(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs a < b whose sizes allow the similarity."""
-        pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def fitting(pairs: DataFrame, tried: DataFrame | None = None) -> DataFrame:
+        """Distinct pairs a < b that are not ``tried`` and whose sizes allow the similarity.
+
+        One aggregation finds the distinct ones and those tried: a pair comes once for each common signature, and an anti-join
+        would be made, by Spark's order of the steps, on all of these.
+        """
+        pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(False).alias("__tried"))
+        if tried is not None:
+            pairs = pairs.unionAll(tried.select("a", "b", F.lit(True)))
+        pairs = pairs.groupBy("a", "b").agg(F.max("__tried").alias("__tried")).where("NOT __tried").select("a", "b")
         pairs = pairs.join(size.select(F.col("sid").alias("a"), F.col("n").alias("__n")), "a").join(size.select(F.col("sid").alias("b"), F.col("n").alias("__m")), "b")
         return pairs.where(F.least("__n", "__m") * 100 >= F.greatest("__n", "__m") * percent).select("a", "b")
 
@@ -396,7 +420,7 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
             # The order of the elements stays, the components are those of now.
             now = rare.drop("comp").join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
             found = rare_pairs(now, percent)
-        new = stage(fitting(found).join(tried, ["a", "b"], "left_anti"), "pairs")
+        new = stage(fitting(found, tried), "pairs")
         tried = tried.unionAll(new)
         links = stage(links.unionAll(verified(new, sets, percent)), "links")
         comps = components(links, comps)

@@ -266,6 +266,46 @@ def test_jaccard_near_copies_make_few_pairs(spark, monkeypatch):
     assert sum(counted) < 12 * len(texts)
 
 
+def test_jaccard_signatures_meet_in_turns(spark, monkeypatch):
+    """The first test of the signatures reads one part of them at a time, and its shuffle is off the disk before the next."""
+
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = [files.apply(i).getName() for i in range(files.size())]
+        return {name for name in names if name.startswith("shuffle_")}
+
+    read, left, before, real = [], set(), shuffles(), jaccard.stage_at
+
+    def stage_at(df, name):
+        if name == "live":
+            read.append(set(re.findall(r"parts_\d+|parts", df._jdf.queryExecution().executedPlan().toString())))
+        out = real(df, name)
+        left.update(shuffles() - before)
+        return out
+
+    monkeypatch.setattr(jaccard, "stage_at", stage_at)
+    rows = spark.range(400).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 60), x -> concat('w', x * (1 + id % 40)))) AS text")
+    out = jaccard.similar(rows.repartition(4)).select("doc_id", "component_id")
+    assert [len(r) for r in read[:8]] == [1] * 8 and len(set().union(*read)) == 8
+    assert not left
+    assert all(r.component_id == r.doc_id % 40 for r in out.collect())
+
+
+def test_jaccard_pairs_are_distinct_before_they_are_joined(spark, monkeypatch):
+    """Pairs come once for each common signature; those tried are told apart in the same aggregation, before any join."""
+    plans, real = [], jaccard.stage
+
+    def stage(df, name):
+        if name == "pairs":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(jaccard, "stage", stage)
+    rows = spark.range(60).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 80), x -> concat('w', if(x = 40, id * 1000, x)))) AS text")
+    same(jaccard.similar(rows), [(k, 0) for k in range(60)], "doc_id", "component_id")
+    assert plans and not any("LeftAnti" in plan for plan in plans)
+
+
 def test_jaccard_counts_every_link(spark, docs):
     near = [(100 + k, " ".join(f"n{i}" for i in range(160) if i != 7 * k % 60) + f" end{k % 9}") for k in range(14)]
     near += [(200 + k, f"s{k} " + " ".join(f"r{i}" for i in range(30 + k))) for k in range(8)]
