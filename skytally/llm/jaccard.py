@@ -13,7 +13,7 @@ Larger bands have more segments than the pigeonhole asks for. There similar sets
 the greatest difference less the empty ones, and a set that meets others in fewer is out: a passage that many documents
 quote fills whole segments of them, but few.
 
-Signatures of all sets meet in one shuffle by signature; each signature found in two nodes makes pairs with one centre
+Signatures of all sets meet in a shuffle by signature, a part of them at a time; each signature found in two nodes makes pairs with one centre
 only, these are verified on the sets themselves, and links are joined into components. Signatures that still span several
 components are tried again with other centres; links inside a component need no proof. What is left open, sets that agree
 in some segment but are in different components, is paired by the rarest elements, which similar sets must share too.
