@@ -46,7 +46,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of linked documents the one with the smallest doc_id goes on, once; those without words all do."""
     rows = _packed(docs)
     groups = jaccard.similar(rows.select("__key", F.col("__row.text").alias("text")), key="__key")
-    groups = groups.where("n_shingles > 0").select("__key", F.col("component_id").alias("__group")).distinct()
+    # Read three times below: without the table each reading would plan and run the end of the operator again.
+    groups = stage(groups.where("n_shingles > 0").select("__key", F.col("component_id").alias("__group")).distinct(), "groups")
     order = F.struct(F.col("__row.doc_id").isNull().alias("none"), F.col("__row.doc_id").alias("id"), "__key")
     first = rows.select(order.alias("__order"), "__key").join(groups, "__key").groupBy("__group").agg(F.min("__order").alias("o"))
     first = first.select(F.col("o.id").alias("__id"), F.col("o.__key").alias("__key"))

@@ -16,6 +16,7 @@ its lowest grade; ratings with a null are left out. Repeated rows give repeated
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 from math import isqrt
 from typing import NamedTuple
 from zlib import crc32
@@ -64,18 +65,24 @@ class Model(NamedTuple):
 def fit(found: list[np.ndarray], grades: np.ndarray, levels: int, rounds: int = 200, rate: float = 0.05, penalty: float = 0.1, least: int = 5, screen: float = 6.0) -> Model:
     """Adam on the mean negative log likelihood with a squared penalty. Features of fewer than
     ``least`` rows, and those that no grade prefers by ``screen`` standard errors, weigh 0."""
-    column = np.concatenate(found)
-    of = np.repeat(np.arange(len(found), dtype=np.int32), [*map(len, found)])
-    rows = np.bincount(column, minlength=1 << BITS)
+    # Rows by grade and feature, some documents at a time: only what the screening leaves is held as one array.
+    by_grade = np.zeros((levels, 1 << BITS), np.int64)
+    for k in range(levels):
+        own = np.flatnonzero(grades == k)
+        for start in range(0, len(own), 500):
+            by_grade[k] += np.bincount(np.concatenate([found[i] for i in own[start : start + 500]]), minlength=1 << BITS)
+    rows = by_grade.sum(0)
     # Screening: how far the share of lower grades among a feature's rows is from that of all rows, in standard errors.
     marks = np.zeros(1 << BITS)
     for k in range(1, levels):
         p = min(max(float((grades < k).mean()), 1e-6), 1 - 1e-6)
-        off = np.abs(np.bincount(column[(grades < k)[of]], minlength=1 << BITS) - rows * p)
+        off = np.abs(by_grade[:k].sum(0) - rows * p)
         marks = np.maximum(marks, off / np.sqrt(np.maximum(rows, 1) * p * (1 - p)))
     chosen = (rows >= least) & (marks >= screen)
-    kept = chosen[column]
-    of, column = of[kept], (np.cumsum(chosen) - 1)[column[kept]]
+    place = np.cumsum(chosen) - 1
+    columns = [place[x[chosen[x]]] for x in found]
+    of = np.repeat(np.arange(len(found), dtype=np.int32), [*map(len, columns)])
+    column = np.concatenate(columns)
     w = np.zeros(int(chosen.sum()))
     share = np.array([(grades < k).mean() for k in range(1, levels)]).clip(0.01, 0.99)
     cuts = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-3 * np.arange(levels - 1))
@@ -126,12 +133,18 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, levels: int = 3, k
     got = rows.select("__grade", "__text").mapInArrow(run, "grade int, found array<int>").where(F.size("found") > 0).toArrow()
     if not got.num_rows:
         return None
-    grades, lists = got["grade"].combine_chunks().to_numpy(), got["found"].combine_chunks()
-    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-    found = [flat[a:b] for a, b in zip(ends, ends[1:])]
-    # Rows come in any order; sums of floating numbers should not depend on it.
-    order = sorted(range(len(found)), key=lambda k: (grades[k], found[k].tobytes()))
-    return fit([found[k] for k in order], grades[order], levels)
+    grades, found = got["grade"].to_numpy(), []
+    for lists in got["found"].chunks:
+        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        found += [flat[a:b] for a, b in zip(ends, ends[1:])]
+    # Rows come in any order; sums of floating numbers should not depend on it. Beginnings tell nearly all rows apart.
+    order = sorted(range(len(found)), key=lambda k: (grades[k], found[k][:16].tobytes()))
+    runs = groupby(order, key=lambda k: (grades[k], found[k][:16].tobytes()))
+    order = [k for _, run in runs for k in sorted(run, key=lambda k: found[k].tobytes())]
+    model = fit([found[k] for k in order], grades[order], levels)
+    del got, grades, found, lists, flat, ends
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def grade_documents(df: DataFrame, model: Model | None, levels: int = 3, wanted: int = 2, least: float = 0.5, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

@@ -75,9 +75,12 @@ class Model:
             np.add.at(total, of, c)
             np.add.at(kinds, of, c > 0)
             escape = np.where(total > 0, np.log2(np.maximum(total + kinds, 1)) - np.log2(np.maximum(kinds, 1)), 0.0)
-            shorter = lower[np.searchsorted(self.keys[-1], keys & ((1 << 8 * k) - 1))] if k else lower
-            seen = np.log2(np.maximum((total + kinds)[of], 1)) - np.log2(np.maximum(c, 1))
-            lower = np.where(c > 0, seen, escape[of] + shorter)
+            below = np.searchsorted(self.keys[-1], keys & ((1 << 8 * k) - 1)) if k else np.zeros(len(keys), np.int64)
+            # One language at a time, so that what is computed on the way stays small; the lengths take the counts' place.
+            for j in range(len(self.langs)):
+                seen = np.log2(np.maximum((total[:, j] + kinds[:, j])[of], 1)) - np.log2(np.maximum(c[:, j], 1))
+                c[:, j] = np.where(c[:, j] > 0, seen, escape[of, j] + lower[below, j])
+            lower = c
             self.keys.append(keys)
             self.bits.append(lower)
             self.contexts.append(contexts)
@@ -118,7 +121,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     share = F.pmod(F.xxhash64(F.lit("langid"), F.col(key), F.col(text)), F.lit(1 << 30)) / float(1 << 30)
     wanted = F.create_map(*(F.lit(x) for name, n in sizes for x in (name, min(1.0, sample / n))))
     chosen = rows.where(share < wanted[F.col(lang)])
-    counts = count_grams(chosen, text, lang, order).toPandas()
+    counts = count_grams(chosen, text, lang, order).toArrow().to_pandas()
     return Model(counts, order) if len(counts) else None
 
 

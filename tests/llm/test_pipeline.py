@@ -102,6 +102,14 @@ def test_rows_of_one_id_are_judged_each_by_its_text(spark, folder):
     assert corpus_pipeline.near_duplicates(spark, none, path).count() == 3
 
 
+def test_groups_are_planned_once(spark, folder):
+    path, _, docs, *_ = folder
+    out = corpus_pipeline.near_duplicates(spark, docs.where("doc_id < 40"), path)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # The tables of the operator itself (names, component labels) are not in the plan of the stage's result.
+    assert plan.count("n_shingles") == 0 and plan.count("__group") > 0
+
+
 def test_an_empty_table(spark, folder, tmp_path):
     path, _, docs, labels, _ = folder
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
