@@ -31,6 +31,8 @@ BLOCK, FIRST = 1_500_000, "\n"
 #: The pre-tokenizer of byte-level vocabularies, and the white space that joins neighbouring words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LOOSE = r"^ | $| \s|\s "
+#: The same inside ASCII text: a space next to white space.
+LOOSE_PAIRS = sorted({pair for c in " \t\n\v\f\r" for pair in (" " + c, c + " ")})
 
 
 def merge(ids: list[int], ranks: dict[int, int], merged: list[int]) -> list[int]:
@@ -139,28 +141,30 @@ class Kept:
     """Values by word, in two generations, so that memory stays bounded and frequent words stay."""
 
     def __init__(self, make):
-        self.make, self.now, self.old = make, {}, {}
+        self.make = make
+        self.clear()
+
+    def clear(self) -> None:
+        self.now, self.old, self.long = {}, {}, []
 
     def fill(self, wanted: set[str]) -> dict[str, tuple[int, ...]]:
         """After this, ``now`` has all that is wanted."""
-        unknown = []
-        for word in wanted:
-            if word in self.now:
-                continue
-            value = self.old.get(word)
-            if value is None:
-                unknown.append(word)
-            else:
-                self.now[word] = value
+        missing = wanted.difference(self.now)
+        again = {word: self.old[word] for word in missing if word in self.old}
+        self.now.update(again)
+        unknown = list(missing.difference(again))
         if unknown:
             self.now.update(zip(unknown, self.make(unknown)))
+            self.long += [word for word in unknown if len(word) > LONGEST]
         return self.now
 
     def age(self) -> None:
-        for word in [x for x in self.now if len(x) > LONGEST] if len(self.now) < CACHE else ():
+        """Only words that came since the last time are looked at, not the whole cache."""
+        for word in self.long:
             del self.now[word]
+        self.long = []
         if len(self.now) >= CACHE:
-            self.old, self.now = {k: v for k, v in self.now.items() if len(k) <= LONGEST}, {}
+            self.old, self.now = self.now, {}
 
 
 def byte_letters() -> dict[str, int]:
@@ -217,13 +221,16 @@ class Codec:
         return out
 
     def make_chunks(self, chunks: list[str]) -> list[tuple[int, ...]]:
-        found = [self.pre_tokens(x[1:] if x[0] == FIRST else " " + x) for x in chunks]
-        ids = self.words.fill(set(chain.from_iterable(found)))
-        return [tuple(chain.from_iterable(map(ids.__getitem__, x))) for x in found]
+        """ASCII letters alone, or digits alone, are one pre-token, which need not be kept as a word too; others are cut by
+        the pattern."""
+        found = [(" " + x,) if x.isascii() and (x.isalpha() or x.isdigit()) else self.pre_tokens(x[1:] if x[0] == FIRST else " " + x) for x in chunks]
+        alone = iter(self.make_words([x[0] for x in found if len(x) == 1]))
+        ids = self.words.fill(set(chain.from_iterable(x for x in found if len(x) > 1)))
+        return [next(alone) if len(x) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, x))) for x in found]
 
     def parts(self, text: str) -> list[str] | None:
         """No pre-token crosses a single space between two words, so these split the text; None where they don't."""
-        if self.loose(text):
+        if text[0] == " " or text[-1] == " " or any(x in text for x in LOOSE_PAIRS) if text.isascii() else self.loose(text):
             return None
         parts = text.split(" ")
         parts[0] = FIRST + parts[0]
@@ -235,7 +242,7 @@ class Codec:
         for text in texts:
             pieces: list = []
             if text:
-                spans = self.special.split(text) if self.special is not None and self.special.search(text) else [text]
+                spans = self.special.split(text) if any(x in text for x in self.added) else [text]
                 for n, span in enumerate(spans):
                     if n % 2:
                         pieces.append(([self.added[span]], None))
@@ -253,7 +260,10 @@ class Codec:
         for kept in (self.words, self.chunks):
             kept.fill(set(chain.from_iterable(parts for pieces in block for parts, by in pieces if by is kept)))
         for pieces in block:
-            yield list(chain.from_iterable(parts if by is None else chain.from_iterable(map(by.now.__getitem__, parts)) for parts, by in pieces))
+            out: list[int] = []
+            for parts, by in pieces:
+                out.extend(parts if by is None else chain.from_iterable(map(by.now.__getitem__, parts)))
+            yield out
         self.words.age()
         self.chunks.age()
 
@@ -289,7 +299,7 @@ def _codec(digest: str, vocabulary) -> Iterator[Codec]:
     finally:
         gc.enable()
         for kept in (codec.words, codec.chunks):
-            kept.now, kept.old = {}, {}
+            kept.clear()
 
 
 def _shared(df: DataFrame, vocabulary: str | None):

@@ -71,6 +71,51 @@ def test_scalar_tree_equals_the_forest():
         assert bpe.merge(ids, codec.ranks, codec.merged) == [*codec.make_words([word])[0]]
 
 
+def test_words_of_letters_or_digits_are_not_cut_by_the_pattern():
+    tokenizers = pytest.importorskip("tokenizers")
+    known = tokenizers.Tokenizer.from_file(bpe.default_vocabulary())
+    codec = bpe.Codec(open(bpe.default_vocabulary(), encoding="utf-8").read())
+    cut, pattern = [], codec.pre_tokens
+    codec.pre_tokens = lambda x: cut.append(x) or pattern(x)
+    texts = ["alpha beta 1234 gamma, delta", "alpha beta 1234 gamma, delta", "é beta ab1 " + "x" * 100, "x" * 100 + " it's", "a\x1c b", "a\x0bb c", "a \x0cb", "a\u00a0 b", "a b ", " a b", "a b \n", "\n", "²3 12 Ⅻ"]
+    for text in texts:
+        assert codec.encode(text) == known.encode(text, add_special_tokens=False).ids, repr(text)
+    # The first word has no space before it, and a comma is a pre-token of its own.
+    assert sorted(cut[:2]) == [" gamma,", "alpha"] and not {" beta", " 1234", " delta"} & set(cut)
+    assert not any(len(word) > bpe.LONGEST for kept in (codec.words, codec.chunks) for word in (*kept.now, *kept.old))
+
+
+def test_known_words_are_found_in_both_generations(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 3)
+    kept = bpe.Kept(lambda words: [(len(w),) for w in words])
+    for wanted in ({"a", "bb"}, {"bb", "ccc"}, {"a", "dddd", "x" * 65}, {"x" * 65, "bb"}, set()):
+        now = kept.fill(wanted)
+        assert all(now[w] == (len(w),) for w in wanted)
+        kept.age()
+        assert len(kept.now) < 3 and "x" * 65 not in {*kept.now, *kept.old}
+
+
+def test_models_are_made_in_little_more_memory_than_their_input():
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    found = [rng.integers(0, 1 << grade.BITS, 600, dtype=np.int32) for _ in range(8000)]
+    parts = [np.unique(langid.grams(bytes((rng.zipf(1.3, 60_000) % 90 + 30).astype(np.uint8)), 3), return_counts=True) for _ in range(16)]
+    counts = pd.concat([pd.DataFrame({"lang": f"l{k}", "gram": codes, "n": n}) for k, (codes, n) in enumerate(parts)], ignore_index=True)
+    tracemalloc.start()
+    grade.fit(found, np.arange(8000) % 3, 3, rounds=1)
+    fitted = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert fitted < 2 * sum(x.nbytes for x in found)
+    tracemalloc.start()
+    model = langid.Model(counts, 3)
+    learned = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert learned < 3.2 * sum(x.nbytes for x in model.bits)
+
+
 def test_language(spark, docs, empty):
     rows = [(k, ("the cat and the dog " if k % 2 else "der hund und die katze ") * 3, "en" if k % 2 else "de") for k in range(60)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
