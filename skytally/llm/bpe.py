@@ -19,15 +19,17 @@ from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NONE = 1 << 62
 PLACE = 1 << 32
 #: Entries of one generation of the word caches, and the longest word that is kept. They bound memory, not results.
-CACHE, LONGEST = 200_000, 64
-#: Characters of text whose words are merged together, and the mark of a text's first word.
-BLOCK, FIRST = 1_500_000, "\n"
+CACHE, LONGEST = 50_000, 64
+#: Characters of text whose words are taken together, new words cut and merged in one turn, words in one matrix, and the
+#: mark of a text's first word.
+BLOCK, TURN, WIDTH, FIRST = 1_500_000, 30_000, 8192, "\n"
 #: The pre-tokenizer of byte-level vocabularies, and the white space that joins neighbouring words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LOOSE = r"^ | $| \s|\s "
@@ -84,6 +86,15 @@ def merge(ids: list[int], ranks: dict[int, int], merged: list[int]) -> list[int]
     return [x for x in ids if x >= 0]
 
 
+def packed(ids: np.ndarray | list[int]) -> bytes:
+    """Ids as they are kept by word, four bytes each: a tuple takes eight, and its numbers 28 more."""
+    return np.asarray(ids, np.int32).tobytes()
+
+
+def unpacked(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, np.int32).tolist()
+
+
 class Forest:
     """The same trees for many words at once: one column of numpy arrays for each word."""
 
@@ -98,7 +109,7 @@ class Forest:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.values[at] << 6 | place, NONE)
 
-    def merge(self, rows: np.ndarray) -> list[list[int]]:
+    def merge(self, rows: np.ndarray) -> list[bytes]:
         """``rows``: ids of words of up to ``size`` + 1 symbols, -1 behind the end, two columns more than symbols."""
         ids = np.ascontiguousarray(rows.T)
         size, width = len(ids) - 2, ids.shape[1]
@@ -132,9 +143,9 @@ class Forest:
                 left, at = left[some], word[some]
                 put(left, at, self.leaf(ids[left, at], ids[i[some], at], left))
             word = word[tree[1, word] < NONE]
-        kept, flat = (ids >= 0).sum(0), ids.T[(ids >= 0).T].tolist()
-        ends = kept.cumsum().tolist()
-        return [flat[e - n : e] for e, n in zip(ends, kept.tolist())]
+        sizes, flat = 4 * (ids >= 0).sum(0), packed(ids.T[(ids >= 0).T])
+        ends = sizes.cumsum().tolist()
+        return [flat[e - n : e] for e, n in zip(ends, sizes.tolist())]
 
 
 class Kept:
@@ -147,15 +158,15 @@ class Kept:
     def clear(self) -> None:
         self.now, self.old, self.long = {}, {}, []
 
-    def fill(self, wanted: set[str]) -> dict[str, tuple[int, ...]]:
+    def fill(self, wanted: set[str]) -> dict[str, bytes]:
         """After this, ``now`` has all that is wanted."""
         missing = wanted.difference(self.now)
         again = {word: self.old[word] for word in missing if word in self.old}
         self.now.update(again)
         unknown = list(missing.difference(again))
-        if unknown:
-            self.now.update(zip(unknown, self.make(unknown)))
-            self.long += [word for word in unknown if len(word) > LONGEST]
+        for some in (unknown[k : k + TURN] for k in range(0, len(unknown), TURN)):
+            self.now.update(zip(some, self.make(some)))
+            self.long += [word for word in some if len(word) > LONGEST]
         return self.now
 
     def age(self) -> None:
@@ -200,10 +211,13 @@ class Codec:
         self.pre_tokens = regex.compile(PATTERN).findall
         self.loose = regex.compile(LOOSE).search
         self.forest = Forest(self.ranks, self.merged)
-        self.words, self.chunks = Kept(self.make_words), Kept(self.make_chunks)
+        self.words, self.chunks = Kept(self.packed_words), Kept(self.packed_chunks)
 
-    def make_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        out: list[tuple[int, ...]] = [()] * len(words)
+    def make_words(self, words: list[str]) -> list[list[int]]:
+        return [*map(unpacked, self.packed_words(words))]
+
+    def packed_words(self, words: list[str]) -> list[bytes]:
+        out = [b""] * len(words)
         start, classes = np.array(self.start, np.int64), {}
         for n, word in enumerate(words):
             code = word.encode()
@@ -211,22 +225,23 @@ class Codec:
         for size, group in classes.items():
             if size > 32:
                 for n, code in group:
-                    out[n] = tuple(merge([self.start[b] for b in code], self.ranks, self.merged))
+                    out[n] = packed(merge([self.start[b] for b in code], self.ranks, self.merged))
                 continue
-            lengths = np.array([len(code) for _, code in group])
-            rows = np.full((len(group), size + 2), -1, np.int64)
-            rows[np.arange(size + 2) < lengths[:, None]] = start[np.frombuffer(b"".join(code for _, code in group), np.uint8)]
-            for (n, _), ids in zip(group, self.forest.merge(rows)):
-                out[n] = tuple(ids)
+            for some in (group[k : k + WIDTH] for k in range(0, len(group), WIDTH)):
+                lengths = np.array([len(code) for _, code in some])
+                rows = np.full((len(some), size + 2), -1, np.int64)
+                rows[np.arange(size + 2) < lengths[:, None]] = start[np.frombuffer(b"".join(code for _, code in some), np.uint8)]
+                for (n, _), ids in zip(some, self.forest.merge(rows)):
+                    out[n] = ids
         return out
 
-    def make_chunks(self, chunks: list[str]) -> list[tuple[int, ...]]:
+    def packed_chunks(self, chunks: list[str]) -> list[bytes]:
         """ASCII letters alone, or digits alone, are one pre-token, which need not be kept as a word too; others are cut by
         the pattern."""
         found = [(" " + x,) if x.isascii() and (x.isalpha() or x.isdigit()) else self.pre_tokens(x[1:] if x[0] == FIRST else " " + x) for x in chunks]
-        alone = iter(self.make_words([x[0] for x in found if len(x) == 1]))
+        alone = iter(self.packed_words([x[0] for x in found if len(x) == 1]))
         ids = self.words.fill(set(chain.from_iterable(x for x in found if len(x) > 1)))
-        return [next(alone) if len(x) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, x))) for x in found]
+        return [next(alone) if len(x) == 1 else b"".join(map(ids.__getitem__, x)) for x in found]
 
     def parts(self, text: str) -> list[str] | None:
         """No pre-token crosses a single space between two words, so these split the text; None where they don't."""
@@ -237,6 +252,9 @@ class Codec:
         return parts
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
+        return map(unpacked, self.packed_all(texts))
+
+    def packed_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Texts are taken some MB at a time: new words of all of them are merged together."""
         block, size = [], 0
         for text in texts:
@@ -245,7 +263,7 @@ class Codec:
                 spans = self.special.split(text) if any(x in text for x in self.added) else [text]
                 for n, span in enumerate(spans):
                     if n % 2:
-                        pieces.append(([self.added[span]], None))
+                        pieces.append(([packed([self.added[span]])], None))
                     elif span:
                         parts = self.parts(span)
                         pieces.append((self.pre_tokens(span), self.words) if parts is None else (parts, self.chunks))
@@ -256,14 +274,11 @@ class Codec:
                 block, size = [], 0
         yield from self._block(block)
 
-    def _block(self, block: list) -> Iterator[list[int]]:
+    def _block(self, block: list) -> Iterator[bytes]:
         for kept in (self.words, self.chunks):
             kept.fill(set(chain.from_iterable(parts for pieces in block for parts, by in pieces if by is kept)))
         for pieces in block:
-            out: list[int] = []
-            for parts, by in pieces:
-                out.extend(parts if by is None else chain.from_iterable(map(by.now.__getitem__, parts)))
-            yield out
+            yield b"".join(chain.from_iterable(parts if by is None else map(by.now.__getitem__, parts) for parts, by in pieces))
         self.words.age()
         self.chunks.age()
 
@@ -300,6 +315,17 @@ def _codec(digest: str, vocabulary) -> Iterator[Codec]:
         gc.enable()
         for kept in (codec.words, codec.chunks):
             kept.clear()
+        pa.default_memory_pool().release_unused()
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about a block of text each, one at least: what is made of them is handed on before the next are taken."""
+    ends = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BLOCK, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def _shared(df: DataFrame, vocabulary: str | None):
@@ -325,21 +351,22 @@ def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
             yield from told(codec, batches)
 
     def told(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(_slices, batches)):
             lengths, all_ids, a, b = [], [], [], []
             texts = (value.as_py() for value in batch.column(batch.num_columns - 1))
-            for tokens in codec.encode_all(texts):
-                lengths.append(len(tokens))
+            for code in codec.packed_all(texts):
+                lengths.append(len(code) // 4)
                 if ids:
-                    all_ids.append(pa.array(tokens, pa.int32()))
+                    all_ids.append(code)
                 if digests:
+                    tokens = unpacked(code)
                     a.append(hashlib.sha256(",".join(map(codec.numbers.__getitem__, tokens)).encode()).hexdigest())
                     b.append(hashlib.sha256(codec.decode(tokens).encode()).hexdigest())
             columns = [*batch.columns[:-1], pa.array(lengths, pa.int64())]
             names = [*batch.schema.names[:-1], "n_tokens"]
             if ids:
                 offsets = pa.array([0, *accumulate(lengths)], pa.int32())
-                columns.append(pa.ListArray.from_arrays(offsets, pa.concat_arrays(all_ids) if all_ids else pa.array([], pa.int32())))
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(all_ids), np.int32))))
                 names.append("ids")
             if digests:
                 columns += [pa.array(a, pa.string()), pa.array(b, pa.string())]

@@ -95,6 +95,30 @@ def test_known_words_are_found_in_both_generations(monkeypatch):
         assert len(kept.now) < 3 and "x" * 65 not in {*kept.now, *kept.old}
 
 
+def test_new_words_take_little_memory_and_leave_none():
+    import tracemalloc
+
+    codec = bpe.Codec(open(bpe.default_vocabulary(), encoding="utf-8").read())
+    texts = (" ".join(f"{chr(97 + k % 26)}{k * 2654435761 % 2**32:x}," for k in range(n, n + 1000)) for n in range(0, 150_000, 1000))
+    tracemalloc.start()
+    assert sum(map(len, codec.encode_all(texts))) > 1_000_000
+    kept, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    # 36 and 82 MB as tuples of numbers, with caches four times as long and all new words of a block cut at once.
+    assert kept < 32e6 and most < 65e6, (kept, most)
+
+
+def test_what_is_encoded_is_handed_on_block_by_block(monkeypatch):
+    pa = pytest.importorskip("pyarrow")
+    monkeypatch.setattr(bpe, "BLOCK", 10)
+    texts = ["abcd", None, "", "abcde", "x" * 25, "é" * 5, "a", None, "b" * 10]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "__text"])
+    cut = [x.column(0).to_pylist() for x in bpe._slices(batch)]
+    assert cut == [[0, 1, 2, 3], [4], [5], [6, 7], [8]]
+    assert [x.column(0).to_pylist() for x in bpe._slices(batch.slice(3, 2))] == [[3], [4]]
+    assert [*bpe._slices(batch.slice(0, 0))] == []
+
+
 def test_models_are_made_in_little_more_memory_than_their_input():
     import tracemalloc
 
